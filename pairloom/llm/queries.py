@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, token_counts, tokens
+from . import licenses, media, quality, token_counts, tokens
 from .sql import ORACLE_SQL  # noqa: F401
 
 TOKEN_LIMIT = 512
@@ -34,3 +34,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op7_quality_rules": op7_quality_rules,
 }
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "license.*")
+    labels = F.array_distinct(F.transform("base", lambda x: x["label"]))
+    more = F.array_distinct(F.transform("found", lambda x: x["label"]))
+    weights = F.transform("found", lambda x: x["weight"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(F.transform("base", lambda x: x["start"])).cast("long").alias("first_word"),
+        F.array_max(F.transform("base", lambda x: x["start"])).cast("long").alias("last_word"),
+        F.array_join(F.sort_array(labels), ",").alias("base_labels"),
+        F.array_join(F.sort_array(F.array_union(labels, more)), ",").alias("labels"),
+        F.coalesce(F.array_max(weights), F.lit(0.0)).alias("score"),
+        F.size("found").cast("long").alias("n_detections"),
+    )
+
+
+QUERIES["op1_license_scan"] = op1_license_scan
+
+
+def op4_media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.stored_documents(documents(spark, sf_dir)))
+
+
+QUERIES["op4_media_pages"] = op4_media_pages
