@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, quality, token_counts, tokens
+from . import licenses, media, quality, sstable, token_counts, tokens
 from .sql import ORACLE_SQL  # noqa: F401
 
 TOKEN_LIMIT = 512
@@ -62,3 +62,13 @@ def op4_media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_media_pages"] = op4_media_pages
+
+END_ID = 2
+
+
+def op6_sorted_string_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sstable.write_shards(documents(spark, sf_dir), tokens.vocabulary("byte_bpe_50k.json"), END_ID)
+    return sstable.read_shards(spark, shards)
+
+
+QUERIES["op6_sorted_string_table"] = op6_sorted_string_table
