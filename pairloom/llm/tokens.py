@@ -2,26 +2,25 @@
 
 A text is cut at safe boundaries: a single space between two characters that
 are not white space.  The pre-tokenizers of the supported vocabularies never
-join across such a space, so pieces encode independently and a piece that
-was seen before need not be encoded again.  Special strings hold no space and
-stay whole.
+join across such a space, so pieces encode independently, equal pieces of a
+batch only once, and words that were seen before not again.  Special strings
+hold no space and stay whole.
 """
 
 from __future__ import annotations
 
 import re
-import struct
+from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are worked on at once, and pieces that a worker remembers.
+#: Bytes of text that are worked on at once, and words that a worker remembers.
 BATCH_BYTES = 8 << 20
-CACHE_PIECES = 250_000
-#: Longer pieces are encoded each time, and never kept.
-CACHED_CHARS = 48
+CACHE_WORDS = 800_000
 #: White space in the widest sense; a space beside one of these is no boundary.
 _SPACE = "\\s\u0085\u00a0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 SAFE_CUT = re.compile(f"(?<=[^{_SPACE}]) (?=[^{_SPACE}])")
@@ -30,13 +29,14 @@ _UNSAFE_PIECE = "^$|^[\\s\\v\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}
 
 _LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "!-&(-/:-;=?@[-`{}~"
 #: Pieces whose pre-tokens are plain to see: no apostrophe, digit, "<", "|" or ">" and no character beyond Latin-1.
-PLAIN = re.compile(f" ?(?:[{_LETTERS}{_SIGNS}]+\n)*[{_LETTERS}{_SIGNS}]+")
+PLAIN = re.compile(f"(?:[{_LETTERS}{_SIGNS}]+\n)*[{_LETTERS}{_SIGNS}]+")
 RUNS = re.compile(f"[{_LETTERS}]+|[{_SIGNS}]+")
 RUNS_AND_ENDS = re.compile(f" ?[{_LETTERS}]+| ?[{_SIGNS}]+|\n")
 #: Byte-level vocabularies write a byte that prints as itself and the others as 256, 257, ... in order.
 _PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
-BYTE_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
-SPACE, END = chr(BYTE_ALPHABET[32]), chr(BYTE_ALPHABET[10])
+_SHIFTED = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
+ALPHABET = "".join(chr(_SHIFTED.get(b, b)) for b in range(256))
+ONE_SIGN = frozenset(".,!?;:")
 
 
 def balanced(nbytes: np.ndarray, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
@@ -52,9 +52,9 @@ def balanced(nbytes: np.ndarray, limit: int = BATCH_BYTES) -> Iterator[tuple[int
 
 
 class PieceEncoder:
-    """Token ids of whole texts from one tokenizer file, by remembered pieces."""
+    """Token ids of whole texts from one tokenizer file, by remembered words."""
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,52 +66,48 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         probe = self.tokenizer.encode("Ab", add_special_tokens=False).ids
         self.lower = probe == self.tokenizer.encode("ab", add_special_tokens=False).ids
-        self.new: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.cache_pieces = cache_pieces
 
     def _whole(self, pieces: list[str]) -> list[bytes]:
         """By the library's whole path: normalizer, pre-tokenizer and model."""
         got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
-    def _fresh(self, pieces: list[str]) -> list[bytes]:
+    def _ids(self, pieces: list[str], lead: str) -> list[bytes]:
+        """Ids of pieces that all stand after ``lead``, a space or nothing."""
         out: list[bytes] = [b""] * len(pieces)
         odd = []
-        words, get, word = self.words, self.words.get, self._word
-        plain, runs, lower = PLAIN.fullmatch, RUNS.findall if self.lower else RUNS_AND_ENDS.findall, self.lower
+        words, get, word, lower = self.words, self.words.get, self._word, self.lower
+        plain, runs = PLAIN.fullmatch, RUNS.findall if lower else RUNS_AND_ENDS.findall
+        space = "" if lower else lead
         for i, piece in enumerate(pieces):
-            if not plain(piece):
+            if piece.isascii():
+                # Most pieces are a word, or a word and one sign.
+                if lower:
+                    piece = piece.lower()
+                if piece.isalpha():
+                    out[i] = get(w := space + piece) or word(w)
+                    continue
+                if (w := piece[:-1]).isalpha() and piece[-1] in ONE_SIGN:
+                    out[i] = (get(w := space + w) or word(w)) + (get(piece[-1]) or word(piece[-1]))
+                    continue
+            if plain(piece):
+                out[i] = b"".join([get(w) or word(w) for w in runs(piece.lower() if lower else lead + piece)])
+            else:
                 odd.append(i)
-                continue
-            out[i] = b"".join([get(w) or word(w) for w in runs(piece.lower() if lower else piece)])
         if odd:
-            for i, ids in zip(odd, self._whole([pieces[i] for i in odd]), strict=True):
+            for i, ids in zip(odd, self._whole([lead + pieces[i] for i in odd]), strict=True):
                 out[i] = ids
-        if len(words) > self.cache_pieces:
+        if len(words) > CACHE_WORDS:
             words.clear()
         return out
 
     def _word(self, word: str) -> bytes:
         """By the library's model alone, which gets a pre-token's bytes as the byte-level alphabet."""
-        shown = word.replace(" ", SPACE).replace("\n", END) if word.isascii() else word.encode().decode("latin-1").translate(BYTE_ALPHABET)
-        ids = struct.pack(f"<{len(found := self.model.tokenize(shown))}I", *[t.id for t in found])
-        self.words[word] = ids
+        found = self.model.tokenize(charmap_decode(word.encode(), "strict", ALPHABET)[0])
+        ids = self.words[word] = array("I", [t.id for t in found]).tobytes()
         return ids
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        known = list(map(self.new.get, pieces))
-        missing = [i for i, b in enumerate(known) if b is None]
-        if missing:
-            if len(self.new) + len(missing) > self.cache_pieces:
-                self.new = {}
-            some = [pieces[i] for i in missing]
-            ids = self._fresh(some)
-            for i, b in zip(missing, ids, strict=True):
-                known[i] = b
-            self.new.update(zip(some, ids, strict=True))
-        return known
-
     def _pieces(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
         """The texts' pieces, dictionary-encoded, and the offsets of each text's pieces."""
         parts = pc.split_pattern(texts, " ")
@@ -136,13 +132,13 @@ class PieceEncoder:
         if len(texts) == 0:
             return np.zeros((0, 2), np.int64), np.zeros(1, np.int64), b""
         coded, offsets = self._pieces(texts.cast(pa.large_string()))
-        codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        found = self._ids([" " + w for w in words])
+        codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = self._ids(words, " ")
         # A text's first piece has no space before it.
         firsts = offsets[:-1]
         heads = list(dict.fromkeys(codes[firsts].tolist()))
         place = {c: len(words) + i for i, c in enumerate(heads)}
-        found += self._ids([words[c] for c in heads])
+        found += self._ids([words[c] for c in heads], "")
         codes[firsts] = [place[c] for c in codes[firsts].tolist()]
         counts = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         starts = np.cumsum(counts) - counts
