@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, quality, sstable, token_counts, tokens
+from . import licenses, media, passages, quality, sstable, token_counts, tokens
 from .sql import ORACLE_SQL  # noqa: F401
 
 TOKEN_LIMIT = 512
@@ -72,3 +72,10 @@ def op6_sorted_string_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_sorted_string_table"] = op6_sorted_string_table
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digests(passages.removed(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+QUERIES["op10_suffix_array_dedup"] = op10_suffix_array_dedup
