@@ -338,7 +338,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int
         if rows["bucket"]:
             yield _records(rows, ["bucket", "batch", "data"])
 
-    resolved = sent.where("bucket >= 0").repartition(n, "bucket").mapInArrow(sort, SHIPPED)
+    resolved = shared.written(sent.where("bucket >= 0").repartition(n, "bucket").mapInArrow(sort, SHIPPED), "dedup-resolved")
     parts = resolved.unionByName(sent.where("bucket < 0")).groupBy("batch").agg(F.collect_list(F.struct("bucket", "data")).alias("parts"))
     out_schema = df.withColumn("removed_spans", F.lit(None).cast("array<struct<start:long,end:long>>")).schema
     arrow_schema = to_arrow_schema(out_schema)
@@ -348,7 +348,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int
             for i in range(b.num_rows):
                 rows = batches.rows_of(b.column(0)[i].as_py())
                 x, offsets = batches.text_bytes(rows, at_text)
-                marks = np.zeros(len(x) + 1, np.int64)
+                marks = np.zeros(len(x) + 1, np.int32)
                 waits: dict = {}
                 masks_at, masks = [], []
                 for p in b.column(1)[i].as_py() or []:
@@ -370,7 +370,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int
                         np.add.at(marks, s, 1)
                         np.add.at(marks, s + LENGTH, -1)
                 # Runs of covered bytes, cut where texts end.
-                gone = np.cumsum(marks[:-1]) > 0
+                gone = np.cumsum(marks[:-1], dtype=np.int32) > 0
                 edge = np.diff(gone.astype(np.int8), prepend=0, append=0)
                 start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
                 inner = np.unique(offsets[1:-1])

@@ -15,7 +15,7 @@ import numpy as np
 PERIOD, COVER = 7, (0, 1, 3)
 #: SHIFT[r, s]: the least d with (r + d) and (s + d) both in the cover, mod PERIOD.
 SHIFT = np.array([[next(d for d in range(PERIOD) if (r + d) % PERIOD in COVER and (s + d) % PERIOD in COVER) for s in range(PERIOD)] for r in range(PERIOD)])
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _PAD = 80
 
 
@@ -65,11 +65,11 @@ class CoverSorter:
 
     def blocks(self, at: np.ndarray, limit: int = BLOCK) -> Iterator[np.ndarray]:
         """The suffixes in sorted order, one bucket of leading bytes at a time, each as an array of places."""
-        lead = (self.text[at].astype(np.int64) << 16) | (self.text[at + 1].astype(np.int64) << 8) | self.text[at + 2]
+        lead = (self.text[at].astype(np.int32) << 8) | self.text[at + 1]
         count = np.bincount(lead, minlength=1)
         held, block = 0, np.zeros(len(count), np.int64)
         total = np.cumsum(count)
-        # Buckets are cut where another ``limit`` suffixes are reached; a leading triple is never cut.
+        # Buckets are cut where another ``limit`` suffixes are reached; a leading pair is never cut.
         edges = [0]
         while edges[-1] < len(count):
             held = total[edges[-1] - 1] if edges[-1] else 0
