@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, passages, quality, sstable, token_counts, tokens
+from . import jaccard, licenses, media, passages, quality, sstable, token_counts, tokens
 from .sql import ORACLE_SQL  # noqa: F401
 
 TOKEN_LIMIT = 512
@@ -79,3 +79,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_suffix_array_dedup"] = op10_suffix_array_dedup
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir))
+
+
+QUERIES["op8_ngram_jaccard_join"] = op8_ngram_jaccard_join
