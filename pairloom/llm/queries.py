@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, media, passages, quality, sstable, token_counts, tokens
+from . import jaccard, licenses, media, mixing, packing, passages, quality, sstable, token_counts, tokens
+from .recipes import MIX
 from .sql import ORACLE_SQL  # noqa: F401
 
 TOKEN_LIMIT = 512
@@ -86,3 +87,16 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_ngram_jaccard_join"] = op8_ngram_jaccard_join
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.mixed(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"), MIX)
+    return taken.select("doc_id", "mix.*")
+
+
+def op9_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(documents(spark, sf_dir), tokens.vocabulary("word_bpe_49k.json"), END_ID)
+    return packing.packed(cut)
+
+
+QUERIES |= {"op3_source_mixing": op3_source_mixing, "op9_sequence_packing": op9_sequence_packing}

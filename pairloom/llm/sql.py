@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import mixing, quality
 
 
 def _quoted(words: list[str]) -> str:
@@ -43,7 +43,58 @@ v AS (SELECT *, list_filter([{failed}], lambda x: x IS NOT NULL) AS failed FROM
 judged AS (SELECT *, len(failed) = 0 AS kept FROM v)"""
 
 
+def _weights(column: str, given: dict[str, int], other: int) -> str:
+    cases = " ".join(f"WHEN {column} = '{k}' THEN {v}" for k, v in sorted(given.items()))
+    return f"(CASE {cases} ELSE {other} END)::BIGINT" if cases else f"{other}::BIGINT"
+
+
+def _dealt(name: str, keys: list[str], source: str) -> str:
+    """One level of the tree: ``source`` has the keys, cap, tokens, weight and budget; adds share."""
+    parent = ", ".join(keys[:-1])
+    by = f"PARTITION BY {parent} " if parent else ""
+    order = f"{by}ORDER BY cap::DOUBLE / weight, {keys[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""
+{name}_a AS (SELECT *, coalesce(sum(cap) OVER ({order}), 0) AS c0, coalesce(sum(weight) OVER ({order}), 0) AS w0, sum(weight) OVER ({by}) AS w1 FROM {source}),
+{name}_b AS (SELECT *, cap * (w1 - w0) <= weight * (budget - c0) AS whole FROM {name}_a),
+{name}_c AS (SELECT *, sum(CASE WHEN whole THEN cap ELSE 0 END) OVER ({by}) AS c2, sum(CASE WHEN whole THEN 0 ELSE weight END) OVER ({by}) AS w2 FROM {name}_b),
+{name} AS (SELECT {", ".join(keys)}, tokens, (CASE WHEN whole THEN cap ELSE (weight * (budget - c2)) // w2 END)::BIGINT AS share FROM {name}_c)"""
+
+
+def mixing_sql(recipe: mixing.Recipe, table: str = "documents") -> str:
+    """CTEs that end in ``taken``: the rows of the table that the mix takes, with the columns of the mix."""
+    keys = list(mixing.LEVELS)
+    named = (recipe.domains, recipe.langs, recipe.sources)
+    parts = [f"""
+r AS (SELECT *, coalesce(CASE WHEN regexp_matches(source, '^src[0-9]$') THEN 'web' ELSE 'curated' END, '<null>') AS m_domain,
+             coalesce(lang, '<null>') AS m_lang, coalesce(source, '<null>') AS m_source,
+             len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM {table}),
+leaf AS (SELECT m_domain AS domain, m_lang AS lang, m_source AS source, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::BIGINT * {recipe.epochs} AS cap FROM r GROUP BY ALL),
+root AS (SELECT least({recipe.budget if recipe.budget is not None else f"(sum(tokens) * {recipe.permille}) // 1000"}, sum(cap)) AS budget FROM leaf)"""]
+    for depth, name in enumerate(keys):
+        own = keys[: depth + 1]
+        up = "root" if depth == 0 else f"(SELECT {', '.join(own[:-1])}, share AS budget FROM s{depth - 1})"
+        using = "CROSS JOIN root" if depth == 0 else f"JOIN {up} USING ({', '.join(own[:-1])})"
+        parts.append(f"""
+n{depth} AS (SELECT {", ".join(own)}, sum(cap)::BIGINT AS cap, sum(tokens)::BIGINT AS tokens, {_weights(name, named[depth], recipe.other)} AS weight FROM leaf GROUP BY {", ".join(own)}),
+j{depth} AS (SELECT * FROM n{depth} {using}),{_dealt(f"s{depth}", own, f"j{depth}")}""")
+    parts.append(f"""
+plan AS (SELECT *, CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END AS epochs FROM s2),
+k AS (SELECT r.*, p.share, p.epochs, p.share - p.epochs * p.tokens AS rest, md5('{recipe.seed}|' || (p.epochs + 1) || '|' || coalesce(r.doc_id::VARCHAR, '')) AS key
+      FROM r JOIN plan p ON r.m_domain = p.domain AND r.m_lang = p.lang AND r.m_source = p.source),
+u AS (SELECT *, sum(n_tokens) OVER (PARTITION BY m_domain, m_lang, m_source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k),
+taken AS (SELECT *, least(epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END, {recipe.epochs})::BIGINT AS n_epochs FROM u
+          WHERE least(epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END, {recipe.epochs}) > 0)""")
+    return ",".join(parts)
+
+
+def _mix_query() -> str:
+    from .recipes import MIX
+
+    return f"WITH {mixing_sql(MIX)}\nSELECT doc_id, m_domain AS domain, m_lang AS lang, m_source AS source, n_tokens, share, n_epochs FROM taken"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_source_mixing": _mix_query(),
     "op7_quality_rules": f"""WITH {quality_sql()}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
