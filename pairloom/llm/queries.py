@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, media, mixing, packing, passages, quality, sstable, token_counts, tokens
+from . import jaccard, licenses, media, mixing, packing, passages, quality, sstable, token_counts, tokens, toxicity
 from .recipes import MIX
 from .sql import ORACLE_SQL  # noqa: F401
 
@@ -100,3 +100,12 @@ def op9_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op3_source_mixing": op3_source_mixing, "op9_sequence_packing": op9_sequence_packing}
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    texts, labels = toxicity.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored(docs, toxicity.fit(texts, labels))
+
+
+QUERIES["op5_toxicity"] = op5_toxicity

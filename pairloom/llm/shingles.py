@@ -26,18 +26,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _words(x: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and where each text's words start."""
-    hashes, starts_at = [], []
+def words(x: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLANK, prefix: int = 0) -> tuple[np.ndarray, ...]:
+    """Hashes of all words, where each text's words start and, if asked for, hashes of the words' first ``prefix`` bytes.
+
+    blank: for each byte whether it parts words. ASCII letters are lower-cased.
+    """
+    hashes, heads, starts_at = [], [], []
     a, n = 0, len(x)
     while a < n:
         z = min(a + SEGMENT, n)
-        while z < n and not _BLANK[x[z - 1 : z + 4096]].any():  # not within a word
+        while z < n and not blank[x[z - 1 : z + 4096]].any():  # not within a word
             z = min(z + 4096, n)
         if z < n:
-            z = min(n, z + int(np.argmax(_BLANK[x[z - 1 : z + 4096]])))
+            z = min(n, z + int(np.argmax(blank[x[z - 1 : z + 4096]])))
         part = _LOWER[x[a:z]]
-        word = ~_BLANK[part]
+        word = ~blank[part]
         edge = np.zeros(len(part) + 1, bool)
         inner = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, z, "right")] - a
         edge[inner] = True
@@ -52,15 +55,18 @@ def _words(x: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             powers = np.cumprod(np.full(int(size.max()), _STEP, np.uint64), dtype=np.uint64)
             value = _BYTES[part[places]] * powers[place]
             hashes.append(mix(np.add.reduceat(value, run) + size.astype(np.uint64)))
+            if prefix:
+                value[place >= prefix] = 0
+                heads.append(mix(np.add.reduceat(value, run)))
             starts_at.append(first + a)
         a = z
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts_at), offsets)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts_at), offsets), np.concatenate(heads) if prefix else hashes[0][:0]
 
 
 def _sets(x: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    w, at = _words(x, offsets)
+    w, at, _ = words(x, offsets)
     m = np.diff(at)
     count = np.where(m >= SIZE, m - SIZE + 1, np.minimum(m, 1))
     out_at = np.concatenate([[0], np.cumsum(count)])

@@ -19,8 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once, and words that a worker remembers.
-BATCH_BYTES = 8 << 20
-CACHE_WORDS = 800_000
+BATCH_BYTES = 4 << 20
+CACHE_WORDS = 300_000
 #: White space in the widest sense; a space beside one of these is no boundary.
 _SPACE = "\\s\u0085\u00a0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 SAFE_CUT = re.compile(f"(?<=[^{_SPACE}]) (?=[^{_SPACE}])")
