@@ -125,5 +125,7 @@ def kept(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
     """The rows of df that pass every rule, with df's columns."""
     keep = df.columns
     own = df.withColumnRenamed("quality", "__own_quality")
-    held = judged(own, text, rules).where("quality.kept").drop("quality")
+    # The row number keeps the filter above the measures: pushed below, each of them would be written out again and again.
+    held = judged(own, text, rules).withColumn("__kept", F.col("quality.kept") & (F.monotonically_increasing_id() >= 0))
+    held = held.where("__kept").drop("quality", "__kept")
     return held.withColumnRenamed("__own_quality", "quality").select(*[F.col(f"`{c}`") for c in keep])
