@@ -24,9 +24,12 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
 PREFIX = 5
 #: Labelled rows that a model is fitted on at most, by label: the bound of the sample.
 SAMPLE = {1: 2500, 0: 5000}
-EPOCHS, BATCH, RATE = 8, 32, 0.05
+#: Steps and passes over the sample at least, rows of a step, and the first step's size.
+STEPS, EPOCHS, BATCH, RATE = 600, 6, 32, 0.05
+#: How the table starts: the size of its noise, and the weight of the label's odds.
+START, ODDS = 0.005, 0.2
 #: Table rows that fewer of the sample's texts hold stay zero, and of the sample's words so many are left out at random.
-LEAST_TEXTS, DROPPED = 3, 0.1
+LEAST_TEXTS, DROPPED = 4, 0.3
 #: One in so many of the sample's rows sets thresholds and nothing else.
 HELD_FOR_THRESHOLDS = 4
 DECISION = 0.7
@@ -151,17 +154,23 @@ def fit(texts: list[str | None], labels: np.ndarray, seed: int = 5) -> Model:
         model.last[:] = 0
         model.thresholds[:] = 5.0
         return model
-    seen = np.zeros(BUCKETS, np.int64)
+    seen = np.zeros((2, BUCKETS), np.int64)
     for i in learn:
-        seen[np.unique(docs[i])] += 1
-    free = seen >= LEAST_TEXTS
-    model.table[free] = rng.standard_normal((int(free.sum()), DIM)).astype(np.float32) * 0.05
+        seen[labels[i], np.unique(docs[i])] += 1
+    free = seen.sum(0) >= LEAST_TEXTS
+    model.table[free] = rng.standard_normal((int(free.sum()), DIM)).astype(np.float32) * START
+    # The first column starts from how much likelier a toxic text holds the row than a clean one.
+    share = [np.log((seen[y] + 0.5) / ((labels[learn] == y).sum() + 1)) for y in (0, 1)]
+    model.table[free, 0] += (ODDS * np.clip(share[1] - share[0], 0, 3))[free].astype(np.float32)
+    model.filters[0][0, 0, :] = np.abs(model.filters[0][0, 0, :])
+    model.last[:FILTERS] = np.abs(model.last[:FILTERS])
     # AdaGrad; a filter's response at its largest place is all that a step touches.
     sums = {"table": np.full(BUCKETS, 1e-6, np.float32), "filters": [np.full(f.shape, 1e-6, np.float32) for f in model.filters], "biases": np.full(n_filters, 1e-6, np.float32), "last": np.full(n_filters, 1e-6, np.float32), "bias": 1e-6}
     weight = np.where(labels == 1, 0.5 / labels[learn].mean(), 0.5 / (1 - labels[learn].mean()))
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(learn)))
+    for epoch in range(epochs):
         order = rng.permutation(learn)
-        rate = RATE * (1 - epoch / EPOCHS)
+        rate = RATE * (1 - epoch / epochs)
         for b in range(0, len(order), BATCH):
             some = order[b : b + BATCH]
             rows = np.concatenate([docs[i] for i in some]) if len(some) else np.zeros((0, 3), np.int32)
