@@ -84,7 +84,7 @@ def batched(df: DataFrame, text: str, label: str, limit: int = BATCH_TEXT) -> Da
         if held:
             yield flush()
 
-    return shared.written(df.mapInArrow(run, "batch long, rows binary"), label)
+    return shared.written(df.mapInArrow(shared.frugal(run), "batch long, rows binary"), label)
 
 
 def text_bytes(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:

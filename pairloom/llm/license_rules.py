@@ -15,14 +15,14 @@ NOTICES = """
 MIT | granted | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
 MIT-0 | granted | permission is hereby granted free of charge to any person obtaining a copy of this software .{0,80} without restriction
 ISC | granted | permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted
-HPND | granted | permission to use copy modify and distribute this software and its documentation for any purpose
+HPND | documentation | permission to use copy modify and distribute this software and its documentation for any purpose
 BSL-1.0 | granted | permission is hereby granted free of charge to any person or organization obtaining a copy of the software
 Unicode-DFS | granted | permission is hereby granted free of charge to any person obtaining a copy of (the unicode )?data files
 OFL-1.1 | granted | permission is hereby granted free of charge to any person obtaining a copy of the font software
 Apache-2.0 | apache | licensed under the apache license version 2 0
 Apache-2.0 | compliance | you may not use this file except in compliance with the license
-Apache-2.0 | asis | unless required by applicable law or agreed to in writing software .{0,60}asis
-Apache-1.1 | acknowledgment | this product includes software developed by the apache software foundation
+Apache-2.0 | agreed | unless required by applicable law or agreed to in writing software .{0,60}as is
+Apache-1.1 | foundation | this product includes software developed by the apache software foundation
 BSD-4-Clause | advertising | all advertising materials mentioning features or use of this software must display
 BSD-3-Clause | endorse | neither the names? of .{1,80} may be used to endorse or promote products
 BSD-2-Clause | redistribution | redistribution and use in source and binary forms with or without modification are permitted

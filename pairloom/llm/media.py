@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import tiff
+from . import shared, tiff
 
 ROW = 64
 #: Bytes of one page; longer payloads go on in further pages.
@@ -84,7 +84,7 @@ def pages(df: DataFrame, id_col: str, media: str) -> DataFrame:
             if rows:
                 yield flush()
 
-    return df.select(id_col, media).mapInArrow(run, f"`{id_col}` {kind}, {PAGE_SCHEMA}")
+    return df.select(id_col, media).mapInArrow(shared.frugal(run), f"`{id_col}` {kind}, {PAGE_SCHEMA}")
 
 
 def stored_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -99,7 +99,7 @@ def stored_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text")
                 sizes = [len((t or "").encode()) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array([stored(payload(t)) for t in texts], pa.binary())], names=[id_col, "n_bytes", "media"])
 
-    return df.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
+    return df.select(id_col, text).mapInArrow(shared.frugal(run), f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
 DIGEST_SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages long"
@@ -134,4 +134,4 @@ def digests(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=[id_col, *names])
 
-    return df.select(id_col, "n_bytes", "media").mapInArrow(run, f"`{id_col}` {kind}, {DIGEST_SCHEMA}")
+    return df.select(id_col, "n_bytes", "media").mapInArrow(shared.frugal(run), f"`{id_col}` {kind}, {DIGEST_SCHEMA}")

@@ -138,7 +138,7 @@ def pieces(df: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id",
                         total.append(len(own))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *[pa.array(c, pa.int64()) for c in (start, length, crc, total)]], names=[id_col, "start", "length", "ids_crc32", "doc_tokens"])
 
-    return df.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return df.select(id_col, text).mapInArrow(shared.frugal(run), f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def packed(cut: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -182,7 +182,7 @@ def packed(cut: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 out[own] = seq[w] + (rank[own] - first[w]) // each[w]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "sequence_id"])
 
-    dealt = ranked.mapInArrow(run, ranked.withColumn("sequence_id", F.lit(0).cast("long")).schema)
+    dealt = ranked.mapInArrow(shared.frugal(run), ranked.withColumn("sequence_id", F.lit(0).cast("long")).schema)
     along = W.partitionBy("sequence_id").orderBy(F.desc("bin"), "rank").rowsBetween(W.unboundedPreceding, -1)
     placed = dealt.withColumn("offset", F.coalesce(F.sum("length").over(along), F.lit(0)).cast("long"))
     return placed.select(id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -249,7 +249,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int
                 rows["data"].append(pack_array(own_flags))
         yield _records(rows, ["bucket", "batch", "data"])
 
-    flags = packed.mapInArrow(ship, SHIPPED).repartition(n, "bucket").mapInArrow(judge, SHIPPED)
+    flags = packed.mapInArrow(shared.frugal(ship), SHIPPED).repartition(n, "bucket").mapInArrow(shared.frugal(judge), SHIPPED)
     flags = shared.written(flags, "dedup-flags")
     by_batch = flags.groupBy("batch").agg(F.collect_list(F.struct("bucket", "data")).alias("flags"))
 
@@ -299,7 +299,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int
                 rows["data"].append(_joined([pack_array(t.first[covered].astype("<i8"), True), pack_array(t.last[covered].astype("<i8"), True), pack_array(t.group[waits].astype("<i8"), True), pack_array(t.first[waits].astype("<i8"), True)]))
                 yield _records(rows, ["bucket", "batch", "data"])
 
-    sent = shared.written(packed.join(by_batch, "batch").mapInArrow(send, SHIPPED), "dedup-stretches")
+    sent = shared.written(packed.join(by_batch, "batch").mapInArrow(shared.frugal(send), SHIPPED), "dedup-stretches")
 
     def sort(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -338,7 +338,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int
         if rows["bucket"]:
             yield _records(rows, ["bucket", "batch", "data"])
 
-    resolved = shared.written(sent.where("bucket >= 0").repartition(n, "bucket").mapInArrow(sort, SHIPPED), "dedup-resolved")
+    resolved = shared.written(sent.where("bucket >= 0").repartition(n, "bucket").mapInArrow(shared.frugal(sort), SHIPPED), "dedup-resolved")
     parts = resolved.unionByName(sent.where("bucket < 0")).groupBy("batch").agg(F.collect_list(F.struct("bucket", "data")).alias("parts"))
     out_schema = df.withColumn("removed_spans", F.lit(None).cast("array<struct<start:long,end:long>>")).schema
     arrow_schema = to_arrow_schema(out_schema)
@@ -383,7 +383,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int
                 spans = pa.ListArray.from_arrays(pa.array(lists), spans)
                 yield pa.RecordBatch.from_arrays([*rows.columns, spans.cast(arrow_schema.field("removed_spans").type)], schema=arrow_schema)
 
-    return packed.join(parts, "batch", "left").select("rows", "parts").mapInArrow(finish, out_schema)
+    return packed.join(parts, "batch", "left").select("rows", "parts").mapInArrow(shared.frugal(finish), out_schema)
 
 
 def cut(raw: bytes, spans: list[dict]) -> bytes:
@@ -410,7 +410,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.string()], strict=True)]], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return df.select(id_col, text, "removed_spans").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return df.select(id_col, text, "removed_spans").mapInArrow(shared.frugal(run), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -424,4 +424,4 @@ def without(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
             columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(b.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
 
-    return found.mapInArrow(run, df.schema)
+    return found.mapInArrow(shared.frugal(run), df.schema)

@@ -244,7 +244,7 @@ def write_shards(df: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc
             writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": TaskContext.get().partitionId(), "uri": uri, "documents": writer.documents, "ids": writer.ids}])
 
-    made = dealt.mapInArrow(run, "shard long, uri string, documents long, ids long").collect()
+    made = dealt.mapInArrow(shared.frugal(run), "shard long, uri string, documents long, ids long").collect()
     return [(r.uri, r.documents, r.ids) for r in sorted(made, key=lambda r: r.shard)]
 
 
@@ -265,4 +265,4 @@ def read_shards(spark: SparkSession, shards: list[tuple[str, int, int]], id_col:
                         at += len(ids)
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
-    return spark.range(0, len(shards), 1, max(1, len(shards))).mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
+    return spark.range(0, len(shards), 1, max(1, len(shards))).mapInArrow(shared.frugal(run), f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from . import tokens
+from . import shared, tokens
 
 
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -26,4 +26,4 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "
             t = pc.fill_null(b.column(1), "")
             yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_length(t).cast(pa.int64()), pa.array(enc.counts(t))], names=[id_col, "n_bytes", "n_tokens"])
 
-    return df.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, n_bytes long, n_tokens long")
+    return df.select(id_col, text).mapInArrow(shared.frugal(run), f"`{id_col}` {kind.simpleString()}, n_bytes long, n_tokens long")

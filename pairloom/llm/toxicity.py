@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import batches, shingles
+from . import batches, shared, shingles
 from .quality import STOP_WORDS
 
 #: Rows of the table, its width, the filters' widths and how many there are of each.
@@ -258,4 +258,4 @@ def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "tex
             held = [None if i is None else zlib.crc32(str(i).encode()) % 3 == 1 for i in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.bool_()), pa.array(score), pa.array((score >= DECISION).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
-    return df.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    return df.select(id_col, text).mapInArrow(shared.frugal(run), f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
