@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .license_rules import BASE, Signature, signatures
+from .quality import barrier
 
 #: Characters that part words, after A-Z are lower-cased.
 NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -65,7 +66,7 @@ def scan(df: DataFrame, text: str = "text", rules: tuple[Signature, ...] | None
     phrase = lambda name, p: F.transform(_places(F.col(norm), F.lit(f"( {p})(?= )")), lambda x: F.struct(F.lit(name).alias("label"), x["start"].alias("start")))
     based = F.when(F.size(keys) > 0, F.concat(*[phrase(a, p) for a, p in base]))
     license_ = F.struct(
-        F.size(words).cast("long").alias("n_words"),
+        (F.size(words) + barrier()).cast("long").alias("n_words"),
         F.coalesce(based, F.array().cast("array<struct<label:string,start:int>>")).alias("base"),
         F.coalesce(kept, empty).alias("found"),
     )

@@ -64,6 +64,14 @@ def verdicts(measures: dict[str, Column], rules: tuple[Rule, ...] = RULES) -> di
     return out
 
 
+def barrier() -> Column:
+    """0, by a row number: a filter on a column made with it isn't pushed below the projection that makes it.
+
+    Pushed down, it would write the measures' nested expressions out again and again, without end.
+    """
+    return F.when(F.monotonically_increasing_id() < 0, 1).otherwise(0)
+
+
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """df with one struct column ``quality`` of whole-text measures; a null text is empty.
 
@@ -91,7 +99,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     lines = "__quality_lines"
     df = df.withColumn(lines, F.filter(F.split(t, "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != ""))
     quality = F.struct(
-        n.cast("long").alias("n_words"),
+        (n + barrier()).cast("long").alias("n_words"),
         F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
@@ -125,7 +133,5 @@ def kept(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
     """The rows of df that pass every rule, with df's columns."""
     keep = df.columns
     own = df.withColumnRenamed("quality", "__own_quality")
-    # The row number keeps the filter above the measures: pushed below, each of them would be written out again and again.
-    held = judged(own, text, rules).withColumn("__kept", F.col("quality.kept") & (F.monotonically_increasing_id() >= 0))
-    held = held.where("__kept").drop("quality", "__kept")
+    held = judged(own, text, rules).where("quality.kept").drop("quality")
     return held.withColumnRenamed("__own_quality", "quality").select(*[F.col(f"`{c}`") for c in keep])
