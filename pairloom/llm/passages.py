@@ -231,15 +231,17 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int
         flag = np.zeros(len(doc), np.uint8)
         o = np.lexsort((doc, own, anchor))
         new = np.concatenate([[True], (own[o][1:] != own[o][:-1]) | (anchor[o][1:] != anchor[o][:-1])])
-        least = doc[o][new][np.cumsum(new) - 1]
-        flag[o[doc[o] > least]] = COVERED
-        # Of each different stretch one copy; those of an anchor that stands in several documents go on.
+        own_group = np.cumsum(new) - 1
+        later = doc[o] > doc[o][new][own_group]
+        # Of each different stretch the least document's copy goes on if its anchor stands in several documents.
         rep = o[new]
         a, d = anchor[rep], doc[rep]
         start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
         size = np.diff(np.concatenate([start, [len(a)]]))
         wide = np.minimum.reduceat(d, start) < np.maximum.reduceat(d, start)
-        flag[rep] = np.repeat(np.where(wide, np.where(size > hot, JOINS_HOT, JOINS), 0), size)
+        goes_on = np.repeat(np.where(wide, np.where(size > hot, JOINS_HOT, JOINS), 0), size)
+        # Rows that repeat the least document's identifier in other batches ask for themselves.
+        flag[o] = np.where(later, COVERED, goes_on[own_group])
         rows: dict = {"bucket": [], "batch": [], "data": []}
         for i, (bucket, number) in enumerate(where):
             own_flags = flag[sizes[i] : sizes[i + 1]]
