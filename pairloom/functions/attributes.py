@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import NULL, clean_text
+from .text import NULL, clean_each
 
 MAP = T.MapType(T.StringType(), T.StringType())
 
@@ -35,11 +35,11 @@ def python_attributes(values: pd.Series) -> pd.Series:
 
 def cleaned_attributes(c: Column, normalize: bool = True) -> Column:
     """Keys and values cleaned, empty values dropped, the first of keys that clean to one kept."""
-    pairs = F.transform(F.map_entries(json_attributes(c)), lambda e: F.struct(clean_text(e["key"], normalize).alias("key"), clean_text(e["value"], normalize).alias("value")))
+    found = json_attributes(c)
+    pairs = F.zip_with(clean_each(F.map_keys(found), normalize), clean_each(F.map_values(found), normalize), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
     full = F.filter(pairs, lambda e: e["value"] != "")
-    keys = F.transform(full, lambda e: e["key"])
-    firsts = F.filter(full, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
-    return F.map_from_entries(firsts)
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return F.aggregate(full, none, lambda held, e: F.when(F.map_contains_key(held, e["key"]), held).otherwise(F.map_concat(held, F.create_map(e["key"], e["value"]))))
 
 
 def product_text(name: Column, category: Column, attributes: Column) -> Column:

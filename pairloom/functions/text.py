@@ -24,6 +24,17 @@ def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def nfkc_each(values: pd.Series) -> pd.Series:
+    """The same for each text of an array: an Arrow function can't stand in a lambda."""
+    return values.map(lambda a: None if a is None else [v if v is None or v.isascii() else unicodedata.normalize("NFKC", v) for v in a])
+
+
+def clean_each(texts: Column, normalize: bool = True) -> Column:
+    """An array of texts, each cleaned."""
+    return F.transform(nfkc_each(texts) if normalize else texts, lambda x: clean_text(x, False))
+
+
 def or_null_name(c: Column) -> Column:
     """A category, or the sentinel for a missing one."""
     return F.coalesce(c, F.lit(NULL))
@@ -47,7 +58,7 @@ def compact(cleaned: Column) -> Column:
 def number_tokens(raw: Column, normalize: bool = False) -> Column:
     """The different numbers of a raw text, with their units, each cleaned; sorted."""
     found = F.regexp_extract_all(F.coalesce(raw, F.lit("")), F.lit("(?iU)" + NUMBER), F.lit(0))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda x: clean_text(x, normalize))))
+    return F.array_sort(F.array_distinct(clean_each(found, normalize)))
 
 
 def code_tokens(cleaned: Column) -> Column:
