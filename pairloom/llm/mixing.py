@@ -76,15 +76,18 @@ def budgets(leaves: DataFrame, recipe: Recipe) -> DataFrame:
     """(domain, lang, source, tokens, share) of every leaf, from (domain, lang, source, tokens)."""
     tree = leaves.withColumn("cap", F.col("tokens") * recipe.epochs)
     named = (recipe.domains, recipe.langs, recipe.sources)
-    whole = F.lit(recipe.budget).cast("long") if recipe.budget is not None else F.expr(f"(sum(tokens) * {recipe.permille}) div 1000")
+    every = W.partitionBy(F.lit(0))  # of the domains, a handful of rows
+    zero = F.lit(0).cast("long")
     above: DataFrame | None = None
     for depth, name in enumerate(LEVELS):
         keys = list(LEVELS[: depth + 1])
         nodes = tree.groupBy(*keys).agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
         nodes = nodes.withColumn("weight", _weight(name, named[depth], recipe.other))
         if above is None:
-            root = tree.agg(F.least(F.coalesce(whole, F.lit(0).cast("long")), F.coalesce(F.sum("cap"), F.lit(0).cast("long"))).alias("budget"))
-            nodes = nodes.join(F.broadcast(root))  # one row
+            nodes = nodes.withColumn("all_tokens", F.sum("tokens").over(every))
+            whole = F.lit(recipe.budget).cast("long") if recipe.budget is not None else F.expr(f"(all_tokens * {recipe.permille}) div 1000")
+            able = F.sum(F.when(F.col("weight") > 0, F.col("cap")).otherwise(zero)).over(every)
+            nodes = nodes.withColumn("budget", F.least(whole, able)).drop("all_tokens")
         else:
             nodes = nodes.join(above, keys[:-1])
         nodes = shared_out(nodes, keys[:-1])
