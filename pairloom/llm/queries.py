@@ -83,7 +83,7 @@ QUERIES["op10_suffix_array_dedup"] = op10_suffix_array_dedup
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(documents(spark, sf_dir))
+    return jaccard.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES["op8_ngram_jaccard_join"] = op8_ngram_jaccard_join

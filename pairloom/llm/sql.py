@@ -102,3 +102,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        array_to_string(failed, ',') AS failed_rules
 FROM judged""",
 }
+
+ORACLE_SQL["op10_suffix_array_dedup"] = """
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+w AS (SELECT rid, doc_id, i, substr(hx, 2 * i + 1, 100) AS s FROM (SELECT rid, doc_id, hx, unnest(range(0, greatest(0, length(hx) // 2 - 49))) AS i FROM t)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT rid, i FROM w JOIN m ON w.s = m.s WHERE doc_id > least),
+r AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM hit),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY rid ORDER BY i) AS k FROM r),
+sp AS (SELECT rid, k, min(i) AS a, max(i) + 50 AS z FROM g GROUP BY rid, k),
+q AS (SELECT rid, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS p FROM sp),
+l AS (SELECT q.rid, string_agg(substr(hx, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(hx), 2 * max(z) + 1) AS kept, sum(z - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans
+ FROM q JOIN t ON q.rid = t.rid GROUP BY q.rid)
+SELECT doc_id, (length(hx) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, hx))) AS kept_sha256
+FROM t LEFT JOIN l ON t.rid = l.rid"""
+
+ORACLE_SQL["op8_ngram_jaccard_join"] = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS rid, doc_id,
+  list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sh AS (SELECT DISTINCT rid, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT rid, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM t WHERE len(ws) > 0)),
+n AS (SELECT rid, count(*)::BIGINT AS n FROM sh GROUP BY rid),
+both_ AS (SELECT a.rid AS a, b.rid AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+link AS (SELECT a, b FROM both_ JOIN n x ON a = x.rid JOIN n y ON b = y.rid WHERE 100 * i >= 80 * (x.n + y.n - i)),
+reach AS (SELECT rid AS a, rid AS b FROM t UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM t LEFT JOIN n ON t.rid = n.rid JOIN (SELECT reach.a, min(doc_id) AS component_id FROM reach JOIN t ON reach.b = t.rid GROUP BY reach.a) c ON t.rid = c.a"""
