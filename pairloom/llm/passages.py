@@ -253,6 +253,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int
 
     flags = packed.mapInArrow(shared.frugal(ship), SHIPPED).repartition(n, "bucket").mapInArrow(shared.frugal(judge), SHIPPED)
     flags = shared.written(flags, "dedup-flags")
+    # A batch without flags still covers the copies that its own documents hold.
     by_batch = flags.groupBy("batch").agg(F.collect_list(F.struct("bucket", "data")).alias("flags"))
 
     def send(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +262,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int
                 number = b.column(0)[i].as_py()
                 t = _Batch(batches.rows_of(b.column(1)[i].as_py()), at_id, at_text, buckets)
                 flag = np.zeros(len(t.head), np.uint8)
-                for f in b.column(2)[i].as_py():
+                for f in b.column(2)[i].as_py() or []:
                     k = f["bucket"]
                     flag[t.cuts[k] : t.cuts[k + 1]] = unpack_array(f["data"], "u1")
                 rows: dict = {"bucket": [], "batch": [], "data": []}
@@ -301,7 +302,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int
                 rows["data"].append(_joined([pack_array(t.first[covered].astype("<i8"), True), pack_array(t.last[covered].astype("<i8"), True), pack_array(t.group[waits].astype("<i8"), True), pack_array(t.first[waits].astype("<i8"), True)]))
                 yield _records(rows, ["bucket", "batch", "data"])
 
-    sent = shared.written(packed.join(by_batch, "batch").mapInArrow(shared.frugal(send), SHIPPED), "dedup-stretches")
+    sent = shared.written(packed.join(by_batch, "batch", "left").mapInArrow(shared.frugal(send), SHIPPED), "dedup-stretches")
 
     def sort(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}

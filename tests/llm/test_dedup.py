@@ -77,6 +77,13 @@ def test_passages_of_small_alphabets(spark, monkeypatch):
     assert dedup(df) == removed(docs)
 
 
+@pytest.mark.parametrize("docs", [[(1, 50), (2, 50)], [(1, 200), (2, 200), (3, 200)], [(2, 90), (1, 90), (None, 90)]])
+def test_passages_of_exact_copies_in_one_batch(spark, docs):
+    text = "".join(random.Random(7).choices("abcdefghij ", k=200))
+    docs = [(i, text[:n]) for i, n in docs]
+    assert dedup(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)) == removed(docs)
+
+
 def test_stretches_hold_every_window_once():
     rng = np.random.default_rng(2)
     texts = ["".join(chr(97 + int(c)) for c in rng.integers(0, 3, int(n))) for n in rng.integers(0, 200, 80)]
