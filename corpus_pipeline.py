@@ -16,6 +16,8 @@ from pairloom.llm import jaccard, mixing, packing, passages, quality, shared, to
 from pairloom.llm.recipes import PIPELINE_MIX
 
 END_ID = 2
+#: Texts of no shingles: null, empty, or nothing but the characters that part words.
+WORDLESS = r"\A[\x09-\x0D\x20]*\z"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,14 +26,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the least identifier stays; rows repeated as a whole stay once.
+    """Of each group of near copies the row of the least identifier stays; rows repeated as a whole stay once.
 
-    Rows of one identifier and different texts stay or go together, and stay if one of them names its group.
-    Rows without an identifier stay only where no identified document is their near copy.
+    Texts are grouped, not identifiers, so each row is decided by its own text, and a group of rows without
+    identifiers keeps one of them. Of one identifier's texts in a group that of the least hash stays. Rows
+    without words have no near copies and stay.
     """
-    found = jaccard.join(docs).select("doc_id", "component_id")
-    stays = found.where("component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["__id"]), "left_semi")
+    key, wordless = F.xxhash64("text"), F.coalesce(F.col("text"), F.lit("")).rlike(WORDLESS)
+    found = jaccard.join(docs.select(key.alias("__key"), "text"), "__key").select("__key", "component_id").distinct()
+    # Each text's least identifier, null last, before the join: a frequent text is one row.
+    least = docs.where(~wordless).groupBy(key.alias("__key")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"))).alias("least"))
+    first = least.join(found, "__key").groupBy("component_id").agg(F.min(F.struct("least", "__key")).alias("first"))
+    stays = first.select(F.col("first.least.id").alias("__id"), F.col("first.__key").alias("__key"))
+    same = docs["doc_id"].eqNullSafe(stays["__id"]) & (F.xxhash64(docs["text"]) == stays["__key"])
+    kept = docs.where(~wordless).join(stays, same, "left_semi").unionByName(docs.where(wordless))
     return kept.dropDuplicates(["doc_id", "text"])
 
 

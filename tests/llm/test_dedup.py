@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from llm_cases import SF, rows_of
+from llm_cases import SCHEMA, SF, rows_of
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -193,6 +193,18 @@ def test_pipeline_stages(spark, documents, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() == after.count()
 
 
+def test_near_duplicates_of_missing_and_repeated_identifiers(spark):
+    words = [f"w{k}" for k in range(400)]
+    a, b, c, d = (" ".join(words[k : k + 60]) for k in (0, 100, 200, 300))
+    texts = [("null", a), ("null", a + " x"), (1, b), ("null", b + " x"), ("null", b), (2, c), (3, c + " x"), (3, d), (4, d + " x"), (5, ""), ("null", ""), ("null", ""), ("null", None)]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows_of(texts), SCHEMA).repartition(3), SF).collect()
+    got = [(r.doc_id, r.text) for r in out]
+    # One row of the group without identifiers, either of its texts; elsewhere that of the least identifier.
+    rest = [r for r in got if r not in [(None, a), (None, a + " x")]]
+    assert len(got) - len(rest) == 1
+    assert sorted(map(str, rest)) == sorted(map(str, [(1, b), (2, c), (3, d), (5, ""), (None, ""), (None, None)]))
+
+
 def test_stages_of_edges_and_empty_tables(spark, edges, empty):
     more = spark.createDataFrame(rows_of([(20 + i, " ".join(f"the word{i * 100 + k} of and to" for k in range(12))) for i in range(4)], 3), edges.schema)
     for docs in (edges.unionByName(more), empty):
