@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, media, mixing, packing, passages, quality, sstable, token_counts, tokens, toxicity
+from . import jaccard, licenses, media, mixing, packing, passages, quality, shared, sstable, token_counts, tokens, toxicity
 from .recipes import MIX
 from .sql import ORACLE_SQL  # noqa: F401
 
@@ -104,8 +104,11 @@ QUERIES |= {"op3_source_mixing": op3_source_mixing, "op9_sequence_packing": op9_
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    texts, labels = toxicity.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, toxicity.fit(texts, labels))
+    marks = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    texts, labels, ids = toxicity.sample(docs, marks)
+    model = toxicity.fit(texts, labels)
+    found = shared.written(toxicity.logits(docs, model), "toxicity-logits")
+    return toxicity.decided(found, toxicity.calibrated(found, marks, model, toxicity.learned(ids)))
 
 
 QUERIES["op5_toxicity"] = op5_toxicity

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import batches, shared, shingles
 from .quality import STOP_WORDS
@@ -32,6 +34,8 @@ START, ODDS = 0.005, 0.2
 LEAST_TEXTS, DROPPED = 4, 0.3
 #: One in so many of the sample's rows sets thresholds and nothing else.
 HELD_FOR_THRESHOLDS = 4
+#: Cells of a logit's unit in the histograms that thresholds are set by.
+BINS = 64
 DECISION = 0.7
 GROUP = 1 << 20
 _PARTS = np.ones(256, bool)
@@ -227,10 +231,15 @@ def _threshold(z: np.ndarray, y: np.ndarray, otherwise: float) -> float:
     return float((z[o][k] + z[o][k + 1]) / 2) if k + 1 < len(z) else float(z[o][k] - 1)
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list, np.ndarray]:
-    """Whole texts and labels of at most SAMPLE rows, the first by a hash of the identifier; rows of the held-out fold never."""
+def _labelled(labels: DataFrame, id_col: str, label: str) -> DataFrame:
+    """(id, label) outside the held-out fold, once for each identifier."""
     fold = F.crc32(F.col(id_col).cast("string")) % 3
-    able = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & (fold != 1)).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
+    return labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & (fold != 1)).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
+
+
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list, np.ndarray, list]:
+    """Whole texts, labels and identifiers of at most SAMPLE rows, the first by a hash of the identifier; rows of the held-out fold never."""
+    able = _labelled(labels, id_col, label)
     order = F.crc32(F.concat(F.col(id_col).cast("string"), F.lit("|sample")))
     taken = None
     for y, n in SAMPLE.items():
@@ -239,23 +248,77 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     # At most the sum of SAMPLE rows of an identifier and a label: their size is bounded.
     found = docs.select(id_col, text).join(F.broadcast(taken), id_col).orderBy(order, id_col).toPandas()
     found = found.drop_duplicates(id_col)
-    return [None if t is None else str(t) for t in found[text]], found["label"].to_numpy(np.int64)
+    return [None if t is None else str(t) for t in found[text]], found["label"].to_numpy(np.int64), found[id_col].tolist()
 
 
-def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted) of every row; a null text is empty and its score is that of no words.
+def learned(ids: list) -> list:
+    """The identifiers of a sample's rows that ``fit`` takes weights from."""
+    return [x for i, x in enumerate(ids) if i % HELD_FOR_THRESHOLDS]
 
-    The score sees the text alone. A long text's words are pooled like any others; nothing is cut.
+
+def calibrated(found: DataFrame, labels: DataFrame, model: Model, known: list, id_col: str = "doc_id", label: str = "toxic") -> Model:
+    """model with the thresholds of all labelled rows outside the held-out fold; ``found`` is ``logits``' table.
+
+    The logits of rows that the weights were learned from (``known``) lie too far apart, so they count only in
+    the labels' shares, which weigh the others: a sample's mix of labels has no say. The driver sees histograms.
     """
+    if not model.last.any():
+        return model
+    spark = found.sparkSession
+    kind = found.schema[id_col].dataType
+    taken = spark.createDataFrame([(x,) for x in known], T.StructType([T.StructField(id_col, kind)])).withColumn("known", F.lit(True))
+    rows = found.join(_labelled(labels, id_col, label), id_col).join(F.broadcast(taken), id_col, "left")
+    place = F.greatest(F.least(F.floor(F.col("z") * BINS), F.lit(100 * BINS)), F.lit(-100 * BINS))
+    cells = rows.groupBy("lang", "label", F.coalesce("known", F.lit(False)).alias("known"), place.alias("bin")).agg(F.count("*").alias("n"), F.min("z").alias("low"), F.max("z").alias("high")).toPandas()
+    whole = _histogram_threshold(cells, None)
+    if whole is None:
+        return model
+    cuts = [_histogram_threshold(cells[cells["lang"] == k], whole) for k in range(len(LANGS) + 1)]
+    return replace(model, thresholds=np.array(cuts, np.float64))
+
+
+def _histogram_threshold(cells: pd.DataFrame, otherwise: float | None) -> float | None:
+    """As ``_threshold``, of a histogram's cells, each label weighed up to its share of all rows."""
+    free = cells[~cells["known"].astype(bool)]
+    every, own = (np.array([t.loc[t["label"] == y, "n"].sum() for y in (0, 1)], float) for t in (cells, free))
+    if not own.all():
+        return otherwise
+    n = free["n"] * (every / own)[free["label"].to_numpy(np.int64)]
+    bins = free.assign(n=n, toxic=n * free["label"]).groupby("bin").agg({"n": "sum", "toxic": "sum", "low": "min", "high": "max"}).sort_index(ascending=False)
+    f1 = 2 * bins["toxic"].cumsum() / (bins["n"].cumsum() + every[1])
+    k = int(f1.to_numpy().argmax())
+    low = float(bins["low"].iloc[k])
+    return (low + float(bins["high"].iloc[k + 1])) / 2 if k + 1 < len(bins) else low - 1
+
+
+def logits(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, held_out, lang, z) of every row: its language's place and its logit before any threshold."""
     kind = df.schema[id_col].dataType.simpleString()
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
-            score = np.zeros(b.num_rows)
+            z, lang = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int32)
             for start, rows, at, langs in features(b.column(1)):
-                score[start : start + len(langs)] = sent.value.scores(rows, at, langs)
+                z[start : start + len(langs)] = sent.value.logits(rows, at)
+                lang[start : start + len(langs)] = langs
             held = [None if i is None else zlib.crc32(str(i).encode()) % 3 == 1 for i in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.bool_()), pa.array(score), pa.array((score >= DECISION).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.bool_()), pa.array(lang), pa.array(z)], names=[id_col, "held_out", "lang", "z"])
+
+    return df.select(id_col, text).mapInArrow(shared.frugal(run), f"`{id_col}` {kind}, held_out boolean, lang int, z double")
+
+
+def decided(found: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """(id, held_out, score, predicted) of ``logits``' table, by the thresholds of the model."""
+    cut = F.element_at(F.array(*[F.lit(float(t)) for t in model.thresholds]), F.col("lang") + 1)
+    z = F.greatest(F.least(F.col("z") - cut + float(np.log(DECISION / (1 - DECISION))), F.lit(30.0)), F.lit(-30.0))
+    score = 1 / (1 + F.exp(-z))
+    return found.select(id_col, "held_out", score.alias("score"), (score >= DECISION).cast("int").alias("predicted"))
+
 
-    return df.select(id_col, text).mapInArrow(shared.frugal(run), f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, held_out, score, predicted) of every row; a null text is empty and its score is that of no words.
+
+    The score sees the text alone. A long text's words are pooled like any others; nothing is cut.
+    """
+    return decided(logits(df, model, id_col, text), model, id_col)

@@ -114,6 +114,29 @@ def test_scores_see_texts_alone(spark, edges, empty):
     assert toxicity.scored(empty, model).collect() == []
 
 
+def test_thresholds_come_from_all_labelled_rows(spark, monkeypatch):
+    ids = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = [(i, "you idiot and moron" if i % 10 == 0 else "you fine and moron" if i % 10 == 1 else "you clean and words") for i in ids]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    # Of the middle text's rows a third is toxic: worth no cut below it, unless a sample of equal shares sets the cut.
+    marks = spark.createDataFrame([(i, int(i % 10 == 0 or i % 30 == 1)) for i in ids], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE", {1: 200, 0: 200})
+    texts, labels, known = toxicity.sample(df, marks)
+    model = toxicity.fit(texts, labels)
+    known = toxicity.learned(known)
+    assert len(known) == 300
+    found = toxicity.logits(df, model)
+    cut = toxicity.calibrated(found, marks, model, known)
+    rows = found.join(marks, "doc_id").toPandas()
+
+    def f1(m):
+        hit = rows.z >= m.thresholds[rows.lang]
+        return 2 * (hit & (rows.toxic == 1)).sum() / (hit.sum() + rows.toxic.sum())
+
+    best = max(2 * ((rows.z >= z) & (rows.toxic == 1)).sum() / ((rows.z >= z).sum() + rows.toxic.sum()) for z in rows.z.unique())
+    assert f1(cut) == pytest.approx(best) and f1(model) < best - 0.01
+
+
 def test_fit_without_labels():
     for texts, labels in (([], []), (["a b"], [1]), (["a", None], [0, 0])):
         model = toxicity.fit(texts, np.array(labels, np.int64))
