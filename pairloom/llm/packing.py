@@ -17,6 +17,8 @@ LENGTH = 4096
 #: Lengths are rounded up to multiples of this in patterns, not in sequences.
 UNIT = 16
 UNITS = LENGTH // UNIT
+#: Pieces of at most so many tokens have a bin for each length; UNIT of them are one item without padding.
+SHORT = 64
 #: A bin's pieces are ranked in so many parts.
 SALT = 64
 #: The program ends when its value is within this part of its lower bound, or after so many columns.
@@ -145,16 +147,28 @@ def packed(cut: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The pieces with sequence_id and offset; a sequence's pieces follow each other without gaps.
 
     Pieces of one rounded length are a bin, ranked by length, identifier and place; a pattern's sequences take
-    the next pieces of each of its bins. The driver sees how many pieces each bin has, nothing else. A bin with
-    a third of all pieces is ranked in parts.
+    the next pieces of each of its bins. Short pieces are binned by their exact length L: each ``UNIT`` of them
+    are an item of L units, so only the last few of a length are rounded up. The driver sees how many pieces
+    each bin has, nothing else. A bin with a third of all pieces is ranked in parts.
     """
-    binned = cut.withColumn("bin", F.ceil(F.col("length") / UNIT).cast("int"))
+    # Short pieces' bins are their lengths below 0.
+    binned = cut.withColumn("bin", F.when(F.col("length") <= SHORT, -F.col("length")).otherwise(F.ceil(F.col("length") / UNIT)).cast("int"))
     binned = shared.written(binned.withColumn("part", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(SALT)).cast("int")), "pack-pieces")
     sizes = binned.groupBy("bin", "part").agg(F.count("*").alias("n"))
     counts = np.zeros(UNITS, np.int64)
-    for r in sizes.groupBy("bin").agg(F.sum("n").alias("n")).collect():
-        counts[r["bin"] - 1] = r["n"]
-    # For each bin: where a pattern's pieces begin among its ranks, how many a sequence takes, its first sequence.
+    # For each short bin: pieces in whole items, and where its items and its single pieces begin in their units' ranks.
+    short: dict[int, tuple[int, int, int]] = {}
+    found = {r["bin"]: r["n"] for r in sizes.groupBy("bin").agg(F.sum("n").alias("n")).collect()}
+    for k in sorted(found, reverse=True):
+        if k > 0:
+            counts[k - 1] += found[k]
+            continue
+        items, singles = divmod(found[k], UNIT)
+        item_at, counts[-k - 1] = int(counts[-k - 1]), counts[-k - 1] + items
+        single_unit = -(k // UNIT)
+        single_at, counts[single_unit - 1] = int(counts[single_unit - 1]), counts[single_unit - 1] + singles
+        short[k] = items * UNIT, item_at, single_at
+    # For each unit: where a pattern's items begin among its ranks, how many a sequence takes, its first sequence.
     begins: dict[int, list[tuple[int, int, int]]] = {}
     ranks, sequence = np.zeros(UNITS, np.int64), 0
     for pattern, times in solved(counts):
@@ -171,15 +185,26 @@ def packed(cut: DataFrame, id_col: str = "doc_id") -> DataFrame:
     names = ranked.columns
     at_bin, at_rank = names.index("bin"), names.index("rank")
 
+    def dealt_to(unit: int, rank: np.ndarray) -> np.ndarray:
+        if not len(rank):
+            return rank
+        first, each, seq = table[unit].T
+        w = np.searchsorted(first, rank, "right") - 1
+        return seq[w] + (rank - first[w]) // each[w]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bins, rank = (b.column(k).to_numpy(zero_copy_only=False) for k in (at_bin, at_rank))
             out = np.zeros(len(bins), np.int64)
             for k in np.unique(bins).tolist():
-                own = bins == k
-                first, each, seq = table[k].T
-                w = np.searchsorted(first, rank[own], "right") - 1
-                out[own] = seq[w] + (rank[own] - first[w]) // each[w]
+                own = np.flatnonzero(bins == k)
+                if k > 0:
+                    out[own] = dealt_to(k, rank[own])
+                    continue
+                whole, item_at, single_at = short[k]
+                items, singles = own[rank[own] < whole], own[rank[own] >= whole]
+                out[items] = dealt_to(-k, item_at + rank[items] // UNIT)
+                out[singles] = dealt_to(-(k // UNIT), single_at + rank[singles] - whole)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "sequence_id"])
 
     dealt = ranked.mapInArrow(shared.frugal(run), ranked.withColumn("sequence_id", F.lit(0).cast("long")).schema)

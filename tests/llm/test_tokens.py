@@ -169,3 +169,20 @@ def test_patterns_cover_every_piece(pairs):
     assert (total >= counts).all() and all((p * units).sum() <= packing.UNITS for p, _ in made)
     # Not worse than packing all longest first by far.
     assert sum(t for _, t in made) <= 1.1 * sum(t for _, t in packing.first_fit(counts)) + 3
+
+
+def test_short_pieces_fill_sequences(spark):
+    lengths = [1] * 20_000 + [3] * 5000 + [17] * 1000 + [64] * 100 + [65] * 40 + [4096, 900]
+    cut = spark.createDataFrame([(i, 0, n, i, n) for i, n in enumerate(lengths)], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long").repartition(3)
+    rows = packing.packed(cut).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s in sequences.values():
+        at = 0
+        for offset, n in sorted(s):
+            assert offset == at
+            at += n
+        assert at <= packing.LENGTH
+    assert len(sequences) <= 1.05 * sum(lengths) / packing.LENGTH + 1
