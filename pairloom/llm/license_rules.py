@@ -47,7 +47,7 @@ MPL-2.0 | mozilla | subject to the terms of the mozilla public license % ?2 0
 MPL-1.1 | mozilla | subject to the mozilla public license % ?1 1
 EPL-2.0 | eclipse | made available under the terms of the eclipse public license % ?2 0
 EPL-1.0 | eclipse | made available under the terms of the eclipse public license % ?1 0
-CDDL-1.0 | cddl | subject to the terms of the common development and distribution license.{0,20}cddl
+CDDL-1.0 | distribution | subject to the terms of the common development and distribution license.{0,20}cddl
 Unlicense | unencumbered | this is free and unencumbered software released into the public domain
 WTFPL | want | do what the fuck you want to public license
 Zlib | misrepresented | the origin of this software must not be misrepresented
@@ -71,7 +71,7 @@ Public-Domain | domain | (released|placed|dedicated|put) (in|into|to) the public
 Proprietary | reserved | all rights reserved
 Proprietary | confidential | (proprietary and confidential|confidential and proprietary)
 Proprietary | unauthorized | unauthorized copying of this (file|work|document|software)
-Proprietary | permission | (may not be|no part .{1,60}) reproduced .{0,60}without .{0,30}permission
+Proprietary | reproduced | (may not be|no part .{1,60}) reproduced .{0,60}without .{0,30}permission
 No-Warranty | warranty | (provided|distributed) as is without( express or implied)? warranty
 No-Warranty | warranties | (provided|distributed) as is (and any express or implied|without) warranties
 """
@@ -126,12 +126,13 @@ Ruby | ruby | ruby license
 OpenSSL | openssl | openssl license
 OLDAP-2.8 | openldap | openldap public license( % ?2 8)?
 PostgreSQL | postgresql | postgresql licen[cs]e
-NCSA | illinois | university of illinois.{0,10}ncsa open source license
+NCSA | university | university of illinois.{0,10}ncsa open source license
 Zlib | zlib | zlib( libpng)? license
 Libpng | libpng | libpng license
 ISC | isc | isc license
 X11 | x11 | x11 license
-Beerware | beer | beer ?ware license
+Beerware | beer | beer ware license
+Beerware | beerware | beerware license
 WTFPL | wtfpl | wtfpl
 Unlicense | unlicense | (the )?unlicense
 Vim | vim | vim license

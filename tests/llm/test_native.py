@@ -76,6 +76,40 @@ def test_license_rules_are_sound():
         assert re.compile(r.pattern) and re.search(rf"\b{r.keyword}", r.pattern.replace("?", "")), r
 
 
+def matches(parsed):
+    """Texts that a parsed pattern takes: every branch, every repeat at its least and most, at most 5 times."""
+    out = [""]
+    for kind, value in parsed:
+        name = str(kind)
+        if name == "LITERAL":
+            some = [chr(value)]
+        elif name == "ANY":
+            some = ["x"]
+        elif name == "IN":
+            some = [chr(v) if str(k) == "LITERAL" else chr(v[0]) for k, v in value]
+        elif name == "BRANCH":
+            some = [t for b in value[1] for t in matches(b)]
+        elif name == "SUBPATTERN":
+            some = matches(value[3])
+        else:
+            assert name in ("MAX_REPEAT", "MIN_REPEAT"), name
+            some = [t * n for n in {value[0], min(int(value[1]), 5)} for t in matches(value[2])]
+        out = [a + t for a in out for t in some]
+    return out
+
+
+def test_license_matches_hold_their_keyword():
+    for r in signatures():
+        for t in matches(re._parser.parse(r.pattern)):
+            assert r.keyword in t.split(), (r, t)
+
+
+def test_license_of_beerware_in_one_word(spark):
+    texts = [("under the beerware license",), ("under the Beer-Ware license",)]
+    rows = licenses.scan(spark.createDataFrame(texts, "text string")).collect()
+    assert [[f.label for f in r.license.found] for r in rows] == [["Beerware"], ["Beerware"]]
+
+
 def test_license_order_decides_between_equals(spark):
     rules = (Signature(0, "first", "foo", "foo bar", 1.0), Signature(1, "second", "foo", "foo bar", 0.5), Signature(2, "long", "foo", "foo bar baz", 0.5))
     found = licenses.scan(spark.createDataFrame([("foo bar baz",)], "text string"), rules=rules).first().license.found
