@@ -267,13 +267,13 @@ def id_signature(spark, sf):
 @query
 def gbt_score(spark, sf):
     f = tables.written(_features(spark, sf), "features")
-    model = scoring.fit_trees(f, rounds=5, depth=4)
+    model = scoring.fit_trees(f)
     return scoring.predicted(model, f).select("id1", "id2", "target", "category", "prediction")
 
 
 @query
 def feature_importance(spark, sf):
-    model = scoring.fit_trees(tables.written(_features(spark, sf), "features"), rounds=5, depth=4)
+    model = scoring.fit_trees(tables.written(_features(spark, sf), "features"))
     return spark.createDataFrame(scoring.importances(model)[:50], "rank long, feature string, importance double")
 
 
