@@ -158,31 +158,58 @@ def test_packing_of_edges(edges, edge_texts, empty):
 
 
 @settings(max_examples=25, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, packing.UNITS), st.integers(1, 400)), max_size=40))
-def test_patterns_cover_every_piece(pairs):
-    counts = np.zeros(packing.UNITS, np.int64)
-    for k, n in pairs:
-        counts[k - 1] += n
-    units = np.arange(1, packing.UNITS + 1)
-    made = packing.solved(counts)
-    total = sum((p * times for p, times in made), np.zeros(packing.UNITS, np.int64))
-    assert (total >= counts).all() and all((p * units).sum() <= packing.UNITS for p, _ in made)
-    # Not worse than packing all longest first by far.
-    assert sum(t for _, t in made) <= 1.1 * sum(t for _, t in packing.first_fit(counts)) + 3
-
-
-def test_short_pieces_fill_sequences(spark):
-    lengths = [1] * 20_000 + [3] * 5000 + [17] * 1000 + [64] * 100 + [65] * 40 + [4096, 900]
-    cut = spark.createDataFrame([(i, 0, n, i, n) for i, n in enumerate(lengths)], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long").repartition(3)
-    rows = packing.packed(cut).collect()
-    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
-    sequences = {}
+@given(st.dictionaries(st.integers(1, packing.LENGTH - 1), st.integers(1, 400), max_size=60), st.sampled_from([8, packing.BINS]))
+def test_patterns_cover_every_piece(held, limit):
+    counts = np.zeros(packing.LENGTH - 1, np.int64)
+    for k, n in held.items():
+        counts[k - 1] = n
+    rounded = packing.bin_sizes(counts, limit)
+    assert ((rounded >= np.arange(1, packing.LENGTH)) == (counts > 0)).all() and len(set(rounded[rounded > 0].tolist())) == min(limit, len(held))
+    sizes = np.unique(rounded[rounded > 0])
+    binned = np.array([counts[rounded == s].sum() for s in sizes], np.int64)
+    made = packing.solved(sizes, binned)
+    total = sum((p * times for p, times in made), np.zeros(len(sizes), np.int64))
+    assert (total == binned).all() and all((p * sizes).sum() <= packing.LENGTH for p, _ in made)
+    assert sum(t for _, t in made) <= sum(t for _, t in packing.first_fit(sizes, binned))
+
+
+def test_columns_beat_first_fit():
+    # Longest first puts the two longest together; the program mixes them with the short ones.
+    sizes, counts = np.array([1000, 1100, 1900, 2050]), np.array([3000, 1000, 1000, 1000])
+    made = packing.solved(sizes, counts)
+    assert sum(t for _, t in made) <= 1.02 * counts @ sizes / packing.LENGTH < sum(t for _, t in packing.first_fit(sizes, counts))
+
+
+def cut_of(spark, lengths):
+    rows, serial = [], 0
+    for i, n in enumerate(lengths):
+        whole = n == packing.LENGTH
+        cut = packing.QUARTER < n < packing.LENGTH and n % packing.QUARTER
+        rows.append((i, 0, n, i, n, i + 10**6 if cut else None, i + 2 * 10**6 if cut else None, 0, serial if whole else None))
+        serial += whole
+    return spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, head_crc32 long, tail_crc32 long, task long, serial long").repartition(3)
+
+
+SHORT = [1] * 20_000 + [3] * 5000 + [17] * 1000 + [64] * 100 + [65] * 40 + [4096, 900, 4096]
+CASES = {"words": [2] * 20_000, "four": [5, 6, 7, 5] * 5000, "twelve": [13 + i % 9 for i in range(20_000)], "short": SHORT, "mixed": [2 + i % 29 for i in range(20_000)] + [30 + 37 * i % 4066 for i in range(2000)], "long": [1500 + 13 * i % 2596 for i in range(4000)], "65": [65] * 3000}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_padding_is_little(spark, name):
+    lengths = CASES[name]
+    rows = packing.packed(cut_of(spark, lengths)).collect()
+    held, sequences = {}, {}
     for r in rows:
+        held.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32 // 10**6))
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, n in enumerate(lengths):
+        head = n // packing.QUARTER * packing.QUARTER
+        assert sorted(held[i]) in ([(0, n, 0)], [(0, head, 1), (head, n - head, 2)])
     for s in sequences.values():
         at = 0
         for offset, n in sorted(s):
             assert offset == at
             at += n
         assert at <= packing.LENGTH
-    assert len(sequences) <= 1.05 * sum(lengths) / packing.LENGTH + 1
+    assert sorted(sequences) == list(range(len(sequences)))
+    assert len(sequences) <= 1.03 * -(-sum(lengths) // packing.LENGTH) + 1
