@@ -56,8 +56,9 @@ def _dealt(name: str, keys: list[str], source: str) -> str:
     return f"""
 {name}_a AS (SELECT *, coalesce(sum(cap) OVER ({order}), 0) AS c0, coalesce(sum(weight) OVER ({order}), 0) AS w0, sum(weight) OVER ({by}) AS w1 FROM {source}),
 {name}_b AS (SELECT *, cap * (w1 - w0) <= weight * (budget - c0) AS whole FROM {name}_a),
-{name}_c AS (SELECT *, sum(CASE WHEN whole THEN cap ELSE 0 END) OVER ({by}) AS c2, sum(CASE WHEN whole THEN 0 ELSE weight END) OVER ({by}) AS w2 FROM {name}_b),
-{name} AS (SELECT {", ".join(keys)}, tokens, (CASE WHEN whole THEN cap ELSE (weight * (budget - c2)) // w2 END)::BIGINT AS share FROM {name}_c)"""
+{name}_c AS (SELECT *, sum(CASE WHEN whole THEN cap ELSE 0 END) OVER ({by}) AS c2, sum(CASE WHEN whole THEN 0 ELSE weight END) OVER ({by}) AS w2,
+  coalesce(sum(CASE WHEN whole THEN 0 ELSE weight END) OVER ({order}), 0) AS w3 FROM {name}_b),
+{name} AS (SELECT {", ".join(keys)}, tokens, (CASE WHEN whole THEN cap ELSE ((w3 + weight) * (budget - c2)) // w2 - (w3 * (budget - c2)) // w2 END)::BIGINT AS share FROM {name}_c)"""
 
 
 def mixing_sql(recipe: mixing.Recipe, table: str = "documents") -> str:
@@ -79,7 +80,7 @@ n{depth} AS (SELECT {", ".join(own)}, sum(cap)::BIGINT AS cap, sum(tokens)::BIGI
 j{depth} AS (SELECT * FROM n{depth} {using}),{_dealt(f"s{depth}", own, f"j{depth}")}""")
     parts.append(f"""
 plan AS (SELECT *, CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END AS epochs FROM s2),
-k AS (SELECT r.*, p.share, p.epochs, p.share - p.epochs * p.tokens AS rest, md5('{recipe.seed}|' || (p.epochs + 1) || '|' || coalesce(r.doc_id::VARCHAR, '')) AS key
+k AS (SELECT r.*, p.share, p.epochs, p.share - p.epochs * p.tokens AS rest, md5('{recipe.seed}|' || (p.epochs + 1) || '|' || coalesce(r.doc_id::VARCHAR, '') || '|' || md5(coalesce(r.text, ''))) AS key
       FROM r JOIN plan p ON r.m_domain = p.domain AND r.m_lang = p.lang AND r.m_source = p.source),
 u AS (SELECT *, sum(n_tokens) OVER (PARTITION BY m_domain, m_lang, m_source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k),
 taken AS (SELECT *, least(epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END, {recipe.epochs})::BIGINT AS n_epochs FROM u

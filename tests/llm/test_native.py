@@ -169,8 +169,10 @@ def filled(children, budget):
         total = sum(w for _, w in open_.values())
         full = {n for n, (c, w) in open_.items() if c <= left * w / total}
         if not full:
-            for n, (_, w) in open_.items():
-                share[n] = int(left * w / total)
+            upto = 0  # what rounding leaves over goes on to the next
+            for n, (_, w) in sorted(open_.items(), key=lambda x: (Fraction(*x[1]), x[0])):
+                share[n] = int(left * (upto + w) / total) - int(left * upto / total)
+                upto += w
             break
         for n in full:
             share[n] = open_[n][0]
@@ -196,7 +198,7 @@ def test_budgets_equal_a_loop(spark):
                 down((*path, n), share)
 
     down((), 500)
-    assert sum(got.values()) <= 500
+    assert sum(got.values()) == 500
 
 
 @pytest.mark.parametrize("recipe", [mixing.Recipe(), mixing.Recipe(permille=500), mixing.Recipe(budget=0), mixing.Recipe(budget=10**9, epochs=3), mixing.Recipe(permille=2500, epochs=4, domains={"web": 0}), mixing.Recipe(domains={"web": 1, "curated": 9}, permille=700, epochs=2, seed=7)])
@@ -221,5 +223,26 @@ def test_mix_of_edges(spark, edges, empty):
     assert {r.mix.lang for r in taken} >= {"<null>"} and {r.mix.source for r in taken} >= {"<null>"}
     half = mixing.mixed(edges, mixing.Recipe(permille=500)).select("mix.*").collect()
     assert sum(r.n_tokens * r.n_epochs for r in half) <= sum(r.mix.n_tokens for r in taken) // 2
+    clash = edges.withColumn("key", F.lit("k")).withColumn("share", F.lit(1)).withColumn("domain", F.lit("d"))
+    assert {(r["key"], r["share"], r["domain"]) for r in mixing.mixed(clash, mixing.Recipe()).collect()} == {("k", 1, "d")}
     same = spark.createDataFrame(rows_of([(1, "a b c d")] * 9), edges.schema)
     assert mixing.mixed(same.withColumn("source", F.lit("src1")).withColumn("lang", F.lit("en")), mixing.Recipe(budget=10)).count() == 0
+
+
+@pytest.mark.parametrize("identifier", ["null", 7])
+def test_half_a_leaf_without_own_identifiers(spark, identifier, edges):
+    texts = [(identifier, f"some words of document {i} " * (1 + i % 3)) for i in range(1000)]
+    df = spark.createDataFrame(rows_of(texts), edges.schema).withColumn("lang", F.lit("en")).withColumn("source", F.lit("src1"))
+    every = sum(len(t.split()) for _, t in texts)
+    taken = mixing.mixed(df, mixing.Recipe(budget=every // 2)).collect()
+    assert every // 2 - 15 < sum(r.mix.n_tokens for r in taken) <= every // 2
+    assert len({r.text for r in taken}) == len(taken)
+
+
+def test_mix_of_more_leaves_than_are_broadcast(spark, documents, monkeypatch):
+    recipe = mixing.Recipe(permille=500)
+    rows = lambda: sorted((r.doc_id, r.mix.n_epochs) for r in mixing.mixed(documents, recipe).collect())
+    want = rows()
+    monkeypatch.setattr(mixing, "SMALL", 1)
+    monkeypatch.setattr(mixing, "HOT", 20)
+    assert rows() == want
