@@ -1,19 +1,21 @@
 """Suffix-array dedup: bytes that a 50-byte string covers which also starts in an earlier document.
 
 Sorting every suffix of a corpus would move each byte many times. So the suffixes that can have an equal
-elsewhere are found first, exactly:
+elsewhere are found first:
 
 1. A window is one string of ``LENGTH`` bytes. Its anchors are its ``K``-byte strings of the least hash, so
    equal windows hold equal anchors at equal places. The windows of a text that share their leftmost anchor
    are a stretch (at most ``2 * LENGTH - K`` bytes). Each window lies in one stretch.
-2. Stretches meet by their anchor's hash, a few bytes each. A stretch that an earlier document holds as a
-   whole is covered. Of each other stretch whose anchor occurs in several texts, one copy goes on.
-3. Only those stretches' suffixes are sorted: bucket by bucket of anchors, block by block of leading bytes,
+2. Anchors meet by their hash, a few bytes each. Stretches whose anchor stands in several documents go on, one
+   of those that a batch of texts holds byte by byte the same. The hash decides nothing else: equal windows
+   always go on, and what goes on is decided by its bytes.
+3. The suffixes of these stretches are sorted: bucket by bucket of anchors, block by block of leading bytes,
    ties resolved by the ranks of a difference cover (``suffixes``). Neighbours that agree in ``LENGTH`` bytes
-   are equal windows; the least document of each run keeps its own.
+   are equal windows; the least document of each run keeps its own. Of stretches that are the same as a whole,
+   byte by byte, one is sorted for all.
 
-An anchor that occurs in more than ``HOT`` different stretches of a partition sends its windows one by one,
-dealt by their contents, so no frequent passage gathers in one task.
+An anchor that occurs in more than ``HOT`` stretches of a bucket sends its windows one by one, dealt by their
+contents, so no frequent passage gathers in one task.
 """
 
 from __future__ import annotations
@@ -33,13 +35,16 @@ from .suffixes import CoverSorter
 
 LENGTH, K = 50, 20
 WIDE = LENGTH - K + 1
+WIDEST = 2 * LENGTH - K
 HOT = 5000
+#: Batches of texts whose stretches meet in one task, about.
+BATCHES = 8
 #: Window starts that are hashed at once; the arrays fit the processor's cache.
 SEGMENT = 1 << 17
 _MULT, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _BASE = 0xD6E8FEB86659FD93
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-COVERED, JOINS, JOINS_HOT = 1, 2, 3
+JOINS, JOINS_HOT = 1, 2
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -141,6 +146,25 @@ def _order(ids: pa.Array) -> np.ndarray:
     return ids.cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
 
 
+def _words(x: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """The strings x[first : first + size] of at most WIDEST bytes, as 8-byte words one after the other; bytes beyond them are 0."""
+    padded = np.concatenate([x, np.zeros(WIDEST + 8, np.uint8)])
+    view = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
+    for k in range(0, WIDEST, 8):
+        word = np.ascontiguousarray(view[first + np.minimum(k, size)]).view(">u8").ravel().astype(np.uint64)
+        left = np.clip(size - k, 0, 8)
+        word = np.where(left > 0, word >> (np.uint64(8) * (8 - np.maximum(left, 1)).astype(np.uint64)), np.uint64(0))
+        yield word
+
+
+def _same(x: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether the strings at a and b are the same, byte by byte."""
+    same = size_a == size_b
+    for u, v in zip(_words(x, a, size_a), _words(x, b, size_b), strict=True):
+        same &= u == v
+    return same
+
+
 class _Batch:
     """A batch's stretches; ``head`` is one of each different stretch, of the least document that holds it."""
 
@@ -150,6 +174,10 @@ class _Batch:
         self.doc = _order(rows.column(at_id))[self.text]
         o = np.lexsort((self.doc, own))
         new = np.concatenate([[True], own[o][1:] != own[o][:-1]]) if len(o) else np.zeros(0, bool)
+        # Hashes only bring likely copies together.
+        i = np.flatnonzero(~new)
+        size = self.last - self.first + LENGTH
+        new[i] = ~_same(self.x, self.first[o[i - 1]], self.first[o[i]], size[o[i - 1]], size[o[i]])
         heads = o[new]
         # Heads in the order of the texts, bucket by bucket.
         bucket = (anchor[heads] % np.uint64(buckets)).astype(np.int64)
@@ -160,7 +188,6 @@ class _Batch:
         self.group = np.empty(len(o), np.int64)
         self.group[o] = back[np.cumsum(new) - 1] if len(o) else o
         self.anchor = (anchor[self.head] >> np.uint64(32)).astype(np.uint32)
-        self.own = own[self.head]
         self.cuts = np.searchsorted(self.bucket, np.arange(buckets + 1))
 
 
@@ -181,9 +208,58 @@ def _parted(data: bytes) -> list[bytes]:
     return out
 
 
+def _by_bucket(found: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, list[bytes]]]]]:
+    """(bucket, [(batch, parts of the record)]) of rows that come bucket by bucket."""
+    now, held = None, []
+    for b in found:
+        for bucket, number, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            if bucket != now and held:
+                yield now, held
+                held = []
+            now = bucket
+            held.append((number, _parted(data.as_py())))
+    if held:
+        yield now, held
+
+
 SHIPPED = "bucket long, batch long, data binary"
 
 
+def _covered(x: np.ndarray, docs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each stretch of x a bit for each of its windows that a lesser document has too."""
+    first = np.cumsum(sizes) - sizes
+    # Stretches that are the same, byte by byte, are sorted once, as their least document's.
+    own = sizes.astype(np.uint64)
+    for word in _words(x, first, sizes):
+        own = _mix(own * np.uint64(_BASE) + word)
+    o = np.lexsort((docs, own))
+    i = np.flatnonzero(own[o][1:] == own[o][:-1]) + 1
+    new = np.ones(len(o), bool)
+    new[i] = ~_same(x, first[o[i - 1]], first[o[i]], sizes[o[i - 1]], sizes[o[i]])
+    one = o[new]
+    group = np.empty(len(o), np.int64)
+    group[o] = np.cumsum(new) - 1
+    windows = sizes[one] - LENGTH + 1
+    ends = np.cumsum(sizes[one])
+    text = x[np.repeat(first[one] - (ends - sizes[one]), sizes[one]) + np.arange(ends[-1])]
+    stretch = np.repeat(np.arange(len(one)), windows)
+    step = np.arange(len(stretch)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = (ends - sizes[one])[stretch] + step
+    place = np.full(len(text), -1, np.int64)  # from a suffix back to its window
+    place[at] = np.arange(len(at))
+    mask = np.zeros(len(one), np.uint64)
+    sorter = CoverSorter(text, LENGTH)
+    for block in sorter.blocks(at):
+        start = np.concatenate([[True], ~sorter.agree(block[:-1], block[1:])])
+        w = place[block]
+        doc = docs[one][stretch[w]]
+        least = np.minimum.reduceat(doc, np.flatnonzero(start))[np.cumsum(start) - 1]
+        hit = w[doc > least]
+        np.bitwise_or.at(mask, stretch[hit], np.uint64(1) << step[hit].astype(np.uint64))
+    every = (np.uint64(1) << windows.astype(np.uint64)) - np.uint64(1)
+    return np.where(docs > docs[one][group], every[group], mask[group])
+
+
 def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """df's rows with ``removed_spans``: an array of (start, end) byte ranges to take from each whole text.
 
@@ -196,9 +272,9 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int
     if "removed_spans" in df.columns:
         df = df.drop("removed_spans")
     at_id, at_text = df.columns.index(id_col), df.columns.index(text)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * n
     packed = batches.batched(df, text, "dedup-batches")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-packed.count() // BATCHES))
+    buckets = 4 * n
 
     def ship(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
@@ -210,48 +286,33 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int
                     a, z = t.cuts[k], t.cuts[k + 1]
                     rows["bucket"].append(k)
                     rows["batch"].append(number)
-                    rows["data"].append(_joined([t.anchor[a:z].tobytes(), t.own[a:z].tobytes(), pack_array(doc[a:z], delta=True)]))
+                    rows["data"].append(_joined([t.anchor[a:z].tobytes(), pack_array(doc[a:z], delta=True)]))
                 if rows["bucket"]:
                     yield _records(rows, ["bucket", "batch", "data"])
 
     def judge(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where: list[tuple[int, int]] = []
-        anchors, owns, docs = [], [], []
-        for b in found:
-            for bucket, number, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                anchor, own, doc = _parted(data.as_py())
-                where.append((bucket, number))
-                anchors.append(np.frombuffer(anchor, np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
-                owns.append(np.frombuffer(own, np.uint64))
-                docs.append(unpack_array(doc, "<i8", delta=True))
-        if not where:
-            return
-        sizes = np.cumsum([0, *map(len, docs)])
-        anchor, own, doc = np.concatenate(anchors), np.concatenate(owns), np.concatenate(docs)
-        flag = np.zeros(len(doc), np.uint8)
-        o = np.lexsort((doc, own, anchor))
-        new = np.concatenate([[True], (own[o][1:] != own[o][:-1]) | (anchor[o][1:] != anchor[o][:-1])])
-        own_group = np.cumsum(new) - 1
-        later = doc[o] > doc[o][new][own_group]
-        # Of each different stretch the least document's copy goes on if its anchor stands in several documents.
-        rep = o[new]
-        a, d = anchor[rep], doc[rep]
-        start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        size = np.diff(np.concatenate([start, [len(a)]]))
-        wide = np.minimum.reduceat(d, start) < np.maximum.reduceat(d, start)
-        goes_on = np.repeat(np.where(wide, np.where(size > hot, JOINS_HOT, JOINS), 0), size)
-        # Rows that repeat the least document's identifier in other batches ask for themselves.
-        flag[o] = np.where(later, COVERED, goes_on[own_group])
-        rows: dict = {"bucket": [], "batch": [], "data": []}
-        for i, (bucket, number) in enumerate(where):
-            own_flags = flag[sizes[i] : sizes[i + 1]]
-            if own_flags.any():
-                rows["bucket"].append(bucket)
-                rows["batch"].append(number)
-                rows["data"].append(pack_array(own_flags))
-        yield _records(rows, ["bucket", "batch", "data"])
+        for bucket, part in _by_bucket(found):
+            docs = [unpack_array(p[1], "<i8", delta=True) for _, p in part]
+            anchor, doc = np.concatenate([np.frombuffer(p[0], np.uint32) for _, p in part]), np.concatenate(docs)
+            o = np.argsort(anchor, kind="stable")
+            a, d = anchor[o], doc[o]
+            start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            size = np.diff(np.concatenate([start, [len(a)]]))
+            wide = np.minimum.reduceat(d, start) < np.maximum.reduceat(d, start)
+            flag = np.zeros(len(doc), np.uint8)
+            flag[o] = np.repeat(np.where(wide, np.where(size > hot, JOINS_HOT, JOINS), 0), size)
+            rows: dict = {"bucket": [], "batch": [], "data": []}
+            sizes = np.cumsum([0, *map(len, docs)])
+            for i, (number, _) in enumerate(part):
+                own_flags = flag[sizes[i] : sizes[i + 1]]
+                if own_flags.any():
+                    rows["bucket"].append(bucket)
+                    rows["batch"].append(number)
+                    rows["data"].append(pack_array(own_flags))
+            if rows["bucket"]:
+                yield _records(rows, ["bucket", "batch", "data"])
 
-    flags = packed.mapInArrow(shared.frugal(ship), SHIPPED).repartition(n, "bucket").mapInArrow(shared.frugal(judge), SHIPPED)
+    flags = packed.mapInArrow(shared.frugal(ship), SHIPPED).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(shared.frugal(judge), SHIPPED)
     flags = shared.written(flags, "dedup-flags")
     # A batch without flags still covers the copies that its own documents hold.
     by_batch = flags.groupBy("batch").agg(F.collect_list(F.struct("bucket", "data")).alias("flags"))
@@ -293,10 +354,9 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int
                     for c in range(LENGTH):
                         dealt = dealt * np.uint64(_BASE) + _BYTES[words[:, c].astype(np.int64)]
                     put((_mix(dealt) % np.uint64(buckets)).astype(np.int64) + buckets, head, first, np.full(len(first), LENGTH), skip)
-                # What is covered already, and where the stretches that were sent stand.
-                own = flag[t.group]
-                covered = (own == COVERED) | (t.doc > t.doc[t.head[t.group]])
-                waits = np.flatnonzero(~covered & (own >= JOINS))
+                # Copies that a lesser document of the batch holds are covered; the others wait for what was sent.
+                covered = t.doc > t.doc[t.head[t.group]]
+                waits = np.flatnonzero(~covered & (flag[t.group] >= JOINS))
                 rows["bucket"].append(-1)
                 rows["batch"].append(number)
                 rows["data"].append(_joined([pack_array(t.first[covered].astype("<i8"), True), pack_array(t.last[covered].astype("<i8"), True), pack_array(t.group[waits].astype("<i8"), True), pack_array(t.first[waits].astype("<i8"), True)]))
@@ -305,43 +365,23 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int
     sent = shared.written(packed.join(by_batch, "batch", "left").mapInArrow(shared.frugal(send), SHIPPED), "dedup-stretches")
 
     def sort(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for b in found:
-            for bucket, number, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                held.setdefault(bucket, []).append((number, data.as_py()))
-        rows: dict = {"bucket": [], "batch": [], "data": []}
-        for bucket in sorted(held):
-            part = [(number, *_parted(data)) for number, data in held.pop(bucket)]
-            heads = [unpack_array(p[1], "<i8", True) for p in part]
-            docs, sizes, skips = (np.concatenate([unpack_array(p[k], t, k == 2) for p in part]) for k, t in ((2, "<i8"), (3, "u1"), (4, "u1")))
-            x = np.concatenate([np.frombuffer(batches.unpacked(p[5]), np.uint8) for p in part])
-            ends = np.cumsum(sizes, dtype=np.int64)
-            windows = sizes.astype(np.int64) - LENGTH + 1
-            stretch = np.repeat(np.arange(len(sizes)), windows)
-            step = np.arange(len(stretch)) - np.repeat(np.cumsum(windows) - windows, windows)
-            at = (ends - sizes)[stretch] + step
-            place = np.full(len(x), -1, np.int64)  # from a suffix back to its window
-            place[at] = np.arange(len(at))
-            mask = np.zeros(len(sizes), np.uint64)
-            sorter = CoverSorter(x, LENGTH)
-            for block in sorter.blocks(at):
-                new = np.concatenate([[True], ~sorter.agree(block[:-1], block[1:])])
-                w = place[block]
-                doc = docs[stretch[w]]
-                least = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
-                hit = w[doc > least]
-                np.bitwise_or.at(mask, stretch[hit], np.uint64(1) << (step[hit] + skips[stretch[hit]]).astype(np.uint64))
+        for bucket, part in _by_bucket(found):
+            heads = [unpack_array(p[0], "<i8", True) for _, p in part]
+            docs, sizes, skips = (np.concatenate([unpack_array(p[k], t, k == 1) for _, p in part]) for k, t in ((1, "<i8"), (2, "u1"), (3, "u1")))
+            x = np.concatenate([np.frombuffer(batches.unpacked(p[4]), np.uint8) for _, p in part])
+            m = _covered(x, docs, sizes.astype(np.int64)) << skips.astype(np.uint64)
             cuts = np.cumsum([0, *map(len, heads)])
-            for i, p in enumerate(part):
-                m = mask[cuts[i] : cuts[i + 1]]
-                if (some := m != 0).any():
+            rows: dict = {"bucket": [], "batch": [], "data": []}
+            for i, (number, _) in enumerate(part):
+                mask = m[cuts[i] : cuts[i + 1]]
+                if (some := mask != 0).any():
                     rows["bucket"].append(bucket)
-                    rows["batch"].append(p[0])
-                    rows["data"].append(_joined([pack_array(heads[i][some], True), pack_array(m[some])]))
-        if rows["bucket"]:
-            yield _records(rows, ["bucket", "batch", "data"])
+                    rows["batch"].append(number)
+                    rows["data"].append(_joined([pack_array(heads[i][some], True), pack_array(mask[some])]))
+            if rows["bucket"]:
+                yield _records(rows, ["bucket", "batch", "data"])
 
-    resolved = shared.written(sent.where("bucket >= 0").repartition(n, "bucket").mapInArrow(shared.frugal(sort), SHIPPED), "dedup-resolved")
+    resolved = shared.written(sent.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(shared.frugal(sort), SHIPPED), "dedup-resolved")
     parts = resolved.unionByName(sent.where("bucket < 0")).groupBy("batch").agg(F.collect_list(F.struct("bucket", "data")).alias("parts"))
     out_schema = df.withColumn("removed_spans", F.lit(None).cast("array<struct<start:long,end:long>>")).schema
     arrow_schema = to_arrow_schema(out_schema)

@@ -210,3 +210,25 @@ def test_stages_of_edges_and_empty_tables(spark, edges, empty):
     for docs in (edges.unionByName(more), empty):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, docs, SF).collect()
+
+
+@pytest.mark.parametrize("blind", [False, True])
+def test_bytes_decide_not_hashes(monkeypatch, blind):
+    if blind:  # every hash the same
+        monkeypatch.setattr(passages, "_mix", lambda h: h & np.uint64(0))
+    rng = np.random.default_rng(6)
+    base = "".join(chr(97 + int(c)) for c in rng.integers(0, 2, 400))
+    texts = [base[a : a + n] for a, n in zip(rng.integers(0, 40, 60).tolist(), rng.integers(50, 81, 60).tolist(), strict=True)]
+    docs = rng.integers(0, 20, 60)
+    x = np.frombuffer("".join(texts).encode(), np.uint8)
+    got = passages._covered(x, docs, np.array([len(t) for t in texts]))
+    least = {}
+    for t, d in zip(texts, docs.tolist(), strict=True):
+        for k in range(len(t) - 49):
+            least[t[k : k + 50]] = min(d, least.get(t[k : k + 50], d))
+    for t, d, m in zip(texts, docs.tolist(), got.tolist(), strict=True):
+        assert [m >> k & 1 == 1 for k in range(len(t) - 49)] == [least[t[k : k + 50]] < d for k in range(len(t) - 49)]
+    at = np.cumsum([0, *map(len, texts)])
+    i, j = np.divmod(np.arange(3600), 60)
+    sizes = np.diff(at)
+    assert passages._same(x, at[i], at[j], sizes[i], sizes[j]).tolist() == [texts[a] == texts[b] for a, b in zip(i, j, strict=True)]
