@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,16 +25,22 @@ from .quality import STOP_WORDS
 #: Rows of the table, its width, the filters' widths and how many there are of each.
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
 PREFIX = 5
-#: Labelled rows that a model is fitted on at most, by label: the bound of the sample.
-SAMPLE = {1: 2500, 0: 5000}
+#: Labelled rows that a model is fitted on at most, by label, and their texts' bytes: the bounds of the sample.
+SAMPLE, SAMPLE_BYTES = {1: 2500, 0: 5000}, 64 << 20
+#: A text of more bytes than this is scored like any other, but not learned from.
+SAMPLE_TEXT = 1 << 20
+#: Networks that are trained from other random starts; their mean logit counts, so one bad start of a small sample doesn't.
+MEMBERS = 3
 #: Steps and passes over the sample at least, rows of a step, and the first step's size.
 STEPS, EPOCHS, BATCH, RATE = 600, 6, 32, 0.05
-#: How the table starts: the size of its noise, and the weight of the label's odds.
-START, ODDS = 0.005, 0.2
+#: The size of the noise that the table starts from.
+START = 0.02
 #: Table rows that fewer of the sample's texts hold stay zero, and of the sample's words so many are left out at random.
 LEAST_TEXTS, DROPPED = 4, 0.3
 #: One in so many of the sample's rows sets thresholds and nothing else.
 HELD_FOR_THRESHOLDS = 4
+#: A language has a threshold of its own if so many rows of each label set it; others take that of all languages.
+SUPPORT = 25
 #: Cells of a logit's unit in the histograms that thresholds are set by.
 BINS = 64
 DECISION = 0.7
@@ -111,7 +118,8 @@ class Model:
         if not len(some):
             return value, where
         for k, f in enumerate(self.filters):
-            own = slice(k * FILTERS, (k + 1) * FILTERS)
+            each = f.shape[2]
+            own = slice(k * each, (k + 1) * each)
             out = words @ f[0]
             for o in range(1, len(f)):
                 shifted = words[o:] @ f[o]
@@ -122,9 +130,8 @@ class Model:
             value[some, own] = np.maximum(top, 0)
             if kept is not None:
                 owner = np.repeat(np.arange(len(some)), np.diff(at)[some])
-                for c in range(FILTERS):
-                    hit = np.flatnonzero(out[:, c] == top[owner, c])
-                    where[some[owner[hit[::-1]]], own.start + c] = hit[::-1]  # the first of equals
+                word, c = np.nonzero(out == top[owner])
+                where[some[owner[word[::-1]]], own.start + c[::-1]] = word[::-1]  # the first of equals
         where[value <= 0] = -1
         return value, where
 
@@ -137,12 +144,49 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(texts: list[str | None], labels: np.ndarray, seed: int = 5) -> Model:
-    """A model of these rows; without rows of both labels every score is low."""
+def merged(members: list[Model]) -> Model:
+    """One network whose logit is the members' mean: tables side by side, filters block by block."""
+    if len(members) == 1:
+        return members[0]
+    n, dim, each = len(members), members[0].table.shape[1], members[0].filters[0].shape[2]
+    filters = []
+    for k, f in enumerate(members[0].filters):
+        both = np.zeros((len(f), n * dim, n * each), np.float32)
+        for i, m in enumerate(members):
+            both[:, i * dim : (i + 1) * dim, i * each : (i + 1) * each] = m.filters[k]
+        filters.append(both)
+    side = lambda name: np.concatenate([getattr(m, name).reshape(len(filters), each) for m in members], 1).ravel()
+    return Model(np.concatenate([m.table for m in members], 1), filters, side("biases"), side("last") / n, float(np.mean([m.bias for m in members])), members[0].thresholds.copy())
+
+
+def gradients(model: Model, rows: np.ndarray, at: np.ndarray, labels: np.ndarray, weight: np.ndarray, kept: np.ndarray) -> dict:
+    """Of the weighted mean log loss by every weight; the table's by ``rows``, which may repeat a row."""
+    value, where = model.pooled(rows, at, kept)
+    z = value @ model.last + model.bias
+    error = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - labels) * weight / max(1, len(labels))
+    g_value = error[:, None] * model.last
+    g_value[where < 0] = 0
+    filters, touched, found = [], [np.zeros(0, np.int64)], [np.zeros((0, DIM))]
+    for k, f in enumerate(model.filters):
+        g_f, each = np.zeros_like(f), f.shape[2]
+        first, g = where[:, k * each : (k + 1) * each], g_value[:, k * each : (k + 1) * each]
+        for o in range(len(f)):
+            ok = (first >= 0) & (first + o < at[1:, None])
+            c = np.nonzero(ok)[1]
+            w = first[ok] + o
+            go = (g[ok] * kept[w])[:, None].astype(f.dtype)
+            own = np.zeros((each, f.shape[1]), f.dtype)
+            np.add.at(own, c, go * model.table[rows[w]].sum(1))
+            g_f[o] = own.T
+            touched.append(rows[w].ravel())
+            found.append(np.repeat(go * f[o].T[c], 3, axis=0))
+        filters.append(g_f)
+    return {"rows": np.concatenate(touched), "table": np.concatenate(found), "filters": filters, "biases": g_value.sum(0), "last": value.T @ error, "bias": float(error.sum())}
+
+
+def _member(docs: list[np.ndarray], labels: np.ndarray, learn: np.ndarray, seed: int) -> Model:
+    """A network trained from the start that the seed gives."""
     rng = np.random.default_rng(seed)
-    parts = [(a, at, langs, rows) for a, rows, at, langs in features(pa.array(texts, pa.string()))]
-    docs = [(rows[at[i] : at[i + 1]]) for _, at, _, rows in parts for i in range(len(at) - 1)]
-    langs = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.int64)
     n_filters = FILTERS * len(WIDTHS)
     model = Model(
         np.zeros((BUCKETS, DIM), np.float32),
@@ -152,22 +196,11 @@ def fit(texts: list[str | None], labels: np.ndarray, seed: int = 5) -> Model:
         -1.0,
         np.zeros(len(LANGS) + 1),
     )
-    held = np.arange(len(docs)) % HELD_FOR_THRESHOLDS == 0
-    learn = np.flatnonzero(~held)
-    if not 0 < labels.sum() < len(labels) or not 0 < labels[learn].sum() < len(learn):
-        model.last[:] = 0
-        model.thresholds[:] = 5.0
-        return model
-    seen = np.zeros((2, BUCKETS), np.int64)
+    seen = np.zeros(BUCKETS, np.int64)
     for i in learn:
-        seen[labels[i], np.unique(docs[i])] += 1
-    free = seen.sum(0) >= LEAST_TEXTS
+        seen[np.unique(docs[i])] += 1
+    free = seen >= LEAST_TEXTS
     model.table[free] = rng.standard_normal((int(free.sum()), DIM)).astype(np.float32) * START
-    # The first column starts from how much likelier a toxic text holds the row than a clean one.
-    share = [np.log((seen[y] + 0.5) / ((labels[learn] == y).sum() + 1)) for y in (0, 1)]
-    model.table[free, 0] += (ODDS * np.clip(share[1] - share[0], 0, 3))[free].astype(np.float32)
-    model.filters[0][0, 0, :] = np.abs(model.filters[0][0, 0, :])
-    model.last[:FILTERS] = np.abs(model.last[:FILTERS])
     # AdaGrad; a filter's response at its largest place is all that a step touches.
     sums = {"table": np.full(BUCKETS, 1e-6, np.float32), "filters": [np.full(f.shape, 1e-6, np.float32) for f in model.filters], "biases": np.full(n_filters, 1e-6, np.float32), "last": np.full(n_filters, 1e-6, np.float32), "bias": 1e-6}
     weight = np.where(labels == 1, 0.5 / labels[learn].mean(), 0.5 / (1 - labels[learn].mean()))
@@ -180,42 +213,40 @@ def fit(texts: list[str | None], labels: np.ndarray, seed: int = 5) -> Model:
             rows = np.concatenate([docs[i] for i in some]) if len(some) else np.zeros((0, 3), np.int32)
             at = np.cumsum([0, *[len(docs[i]) for i in some]])
             kept = (rng.random(len(rows)) >= DROPPED).astype(np.float32)
-            value, where = model.pooled(rows, at, kept)
-            z = value @ model.last + model.bias
-            error = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - labels[some]) * weight[some] / len(some)
-            g_last, g_bias, g_value = value.T @ error, float(error.sum()), error[:, None] * model.last
-            g_value[where < 0] = 0
-            g_biases = g_value.sum(0)
+            g = gradients(model, rows, at, labels[some], weight[some], kept)
+            use = free[g["rows"]]
+            row, g_row = g["rows"][use], g["table"][use]
+            np.add.at(sums["table"], row, (g_row**2).mean(1))
+            np.add.at(model.table, row, -rate * g_row / np.sqrt(sums["table"][row])[:, None])
             for k, f in enumerate(model.filters):
-                g_f = np.zeros_like(f)
-                for c in range(FILTERS):
-                    t = np.flatnonzero(where[:, k * FILTERS + c] >= 0)
-                    g = g_value[t, k * FILTERS + c].astype(np.float32)
-                    for o in range(len(f)):
-                        w = where[t, k * FILTERS + c] + o
-                        ok = w < at[1:][t]
-                        w, go = w[ok], g[ok] * kept[w[ok]]
-                        e = model.table[rows[w]].sum(1)
-                        g_f[o, :, c] += go @ e
-                        g_row = np.repeat(go[:, None] * f[o, :, c], 3, axis=0)
-                        r = rows[w].ravel()
-                        use = free[r]
-                        np.add.at(sums["table"], r[use], (g_row[use] ** 2).mean(1))
-                        np.add.at(model.table, r[use], -rate * g_row[use] / np.sqrt(sums["table"][r[use]])[:, None])
-                sums["filters"][k] += g_f**2
-                f -= rate * g_f / np.sqrt(sums["filters"][k])
-            sums["biases"] += g_biases**2
-            model.biases -= (rate * g_biases / np.sqrt(sums["biases"])).astype(np.float32)
-            sums["last"] += g_last**2
-            model.last -= (rate * g_last / np.sqrt(sums["last"])).astype(np.float32)
-            sums["bias"] += g_bias**2
-            model.bias -= rate * g_bias / np.sqrt(sums["bias"])
+                sums["filters"][k] += g["filters"][k] ** 2
+                f -= rate * g["filters"][k] / np.sqrt(sums["filters"][k])
+            sums["biases"] += g["biases"] ** 2
+            model.biases -= (rate * g["biases"] / np.sqrt(sums["biases"])).astype(np.float32)
+            sums["last"] += g["last"] ** 2
+            model.last -= (rate * g["last"] / np.sqrt(sums["last"])).astype(np.float32)
+            sums["bias"] += g["bias"] ** 2
+            model.bias -= rate * g["bias"] / np.sqrt(sums["bias"])
+    return model
+
+
+def fit(texts: list[str | None], labels: np.ndarray, seed: int = 5) -> Model:
+    """A model of these rows; without rows of both labels every score is low."""
+    parts = [(a, at, langs, rows) for a, rows, at, langs in features(pa.array(texts, pa.string()))]
+    docs = [(rows[at[i] : at[i + 1]]) for _, at, _, rows in parts for i in range(len(at) - 1)]
+    langs = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.int64)
+    held = np.arange(len(docs)) % HELD_FOR_THRESHOLDS == 0
+    learn = np.flatnonzero(~held)
+    if not 0 < labels.sum() < len(labels) or not 0 < labels[learn].sum() < len(learn):
+        n = FILTERS * len(WIDTHS)
+        return Model(np.zeros((BUCKETS, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], np.zeros(n, np.float32), np.zeros(n, np.float32), -1.0, np.full(len(LANGS) + 1, 5.0))
+    model = merged([_member(docs, labels, learn, seed + i) for i in range(MEMBERS)])
     rows, at = np.concatenate(docs), np.cumsum([0, *map(len, docs)])
     z = np.concatenate([model.logits(rows[at[i] : at[min(i + 256, len(docs))]], at[i : min(i + 256, len(docs)) + 1] - at[i]) for i in range(0, len(docs), 256)])
     whole = _threshold(z[held], labels[held], 0.0)
     for k in range(len(LANGS) + 1):
         own = held & (langs == k)
-        model.thresholds[k] = _threshold(z[own], labels[own], whole)
+        model.thresholds[k] = _threshold(z[own], labels[own], whole) if min(labels[own].sum(), (1 - labels[own]).sum()) >= SUPPORT else whole
     return model
 
 
@@ -238,17 +269,24 @@ def _labelled(labels: DataFrame, id_col: str, label: str) -> DataFrame:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list, np.ndarray, list]:
-    """Whole texts, labels and identifiers of at most SAMPLE rows, the first by a hash of the identifier; rows of the held-out fold never."""
+    """Whole texts, labels and identifiers of at most SAMPLE rows, the first by a hash of the identifier; rows of the held-out fold never.
+
+    Of the rows that repeat an identifier the least text is taken. No more than SAMPLE_BYTES of text come to the driver.
+    """
     able = _labelled(labels, id_col, label)
-    order = F.crc32(F.concat(F.col(id_col).cast("string"), F.lit("|sample")))
+    order = [F.crc32(F.concat(F.col(id_col).cast("string"), F.lit("|sample"))), F.col(id_col)]
     taken = None
     for y, n in SAMPLE.items():
-        some = able.where(F.col("label") == y).orderBy(order, id_col).limit(n)
+        some = able.where(F.col("label") == y).orderBy(*order).limit(n)
         taken = some if taken is None else taken.unionByName(some)
     # At most the sum of SAMPLE rows of an identifier and a label: their size is bounded.
-    found = docs.select(id_col, text).join(F.broadcast(taken), id_col).orderBy(order, id_col).toPandas()
-    found = found.drop_duplicates(id_col)
-    return [None if t is None else str(t) for t in found[text]], found["label"].to_numpy(np.int64), found[id_col].tolist()
+    own = docs.select(F.col(id_col), F.col(text).alias("text")).join(F.broadcast(taken), id_col)
+    found = own.groupBy(id_col).agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    upto = F.sum("size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    found = found.withColumn("size", size).where(F.col("size") <= SAMPLE_TEXT).withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES)
+    rows = found.orderBy(*order).select(id_col, "text", "label").toPandas()
+    return [None if t is None else str(t) for t in rows["text"]], rows["label"].to_numpy(np.int64), rows[id_col].tolist()
 
 
 def learned(ids: list) -> list:
@@ -278,10 +316,10 @@ def calibrated(found: DataFrame, labels: DataFrame, model: Model, known: list, i
 
 
 def _histogram_threshold(cells: pd.DataFrame, otherwise: float | None) -> float | None:
-    """As ``_threshold``, of a histogram's cells, each label weighed up to its share of all rows."""
+    """As ``_threshold``, of a histogram's cells, each label weighed up to its share of all rows; ``otherwise`` below SUPPORT."""
     free = cells[~cells["known"].astype(bool)]
     every, own = (np.array([t.loc[t["label"] == y, "n"].sum() for y in (0, 1)], float) for t in (cells, free))
-    if not own.all():
+    if own.min() < (1 if otherwise is None else SUPPORT):
         return otherwise
     n = free["n"] * (every / own)[free["label"].to_numpy(np.int64)]
     bins = free.assign(n=n, toxic=n * free["label"]).groupby("bin").agg({"n": "sum", "toxic": "sum", "low": "min", "high": "max"}).sort_index(ascending=False)
