@@ -1,6 +1,6 @@
 """Ordered license signatures over normalized text: lower-case words parted by single spaces.
 
-A line is ``label | keyword | pattern``; the keyword is a word that every match holds. Earlier lines go
+A line is ``label | keyword | pattern``; the keyword is a word, or several, that every match holds. Earlier lines go
 first: a match that lies inside a match of an earlier line is suppressed. ``%`` stands for an optional
 "v", "version" or "version v" before a number.
 """
@@ -34,15 +34,15 @@ LGPL-2.1-or-later | lesser | terms of the gnu lesser general public license as p
 LGPL-3.0-only | lesser | licensed under the gnu lesser general public license % ?3
 LGPL-2.1-only | lesser | licensed under the gnu lesser general public license % ?2 1
 LGPL | lesser | terms of the gnu lesser general public license
-LGPL-2.0-or-later | library | terms of the gnu library general public license
+LGPL-2.0-or-later | library general license | terms of the gnu library general public license
 GPL-3.0-or-later | gnu | terms of the gnu general public license as published by the free software foundation either % ?3 .{0,40}any later version
 GPL-2.0-or-later | gnu | terms of the gnu general public license as published by the free software foundation either % ?2 .{0,40}any later version
 GPL-3.0-only | gnu | (this work is )?licensed under the gnu general public license % ?3
 GPL-2.0-only | gnu | (this work is )?licensed under the gnu general public license % ?2
 GPL | gnu | terms of the gnu general public license
-GFDL-1.3 | documentation | terms of the gnu free documentation license % ?1 3
-GFDL-1.2 | documentation | terms of the gnu free documentation license % ?1 2
-GFDL | documentation | terms of the gnu free documentation license
+GFDL-1.3 | documentation gnu | terms of the gnu free documentation license % ?1 3
+GFDL-1.2 | documentation gnu | terms of the gnu free documentation license % ?1 2
+GFDL | documentation gnu | terms of the gnu free documentation license
 MPL-2.0 | mozilla | subject to the terms of the mozilla public license % ?2 0
 MPL-1.1 | mozilla | subject to the mozilla public license % ?1 1
 EPL-2.0 | eclipse | made available under the terms of the eclipse public license % ?2 0
@@ -52,7 +52,7 @@ Unlicense | unencumbered | this is free and unencumbered software released into
 WTFPL | want | do what the fuck you want to public license
 Zlib | misrepresented | the origin of this software must not be misrepresented
 CC0-1.0 | waived | to the extent possible under law .{1,80} has waived all copyright
-CC-BY-4.0 | commons | licensed under (a|the) creative commons attribution 4 0 international license
+CC-BY-4.0 | commons licensed | licensed under (a|the) creative commons attribution 4 0 international license
 CC-BY-SA-4.0 | sharealike | licensed under (a|the) creative commons attribution sharealike 4 0 international license
 CC-BY-SA-3.0 | sharealike | licensed under (a|the) creative commons attribution sharealike 3 0( unported)? license
 CC-BY-NC-4.0 | noncommercial | licensed under (a|the) creative commons attribution noncommercial 4 0 international license
@@ -74,6 +74,32 @@ Proprietary | unauthorized | unauthorized copying of this (file|work|document|so
 Proprietary | reproduced | (may not be|no part .{1,60}) reproduced .{0,60}without .{0,30}permission
 No-Warranty | warranty | (provided|distributed) as is without( express or implied)? warranty
 No-Warranty | warranties | (provided|distributed) as is (and any express or implied|without) warranties
+MIT | sublicense | to use copy modify merge publish distribute sublicense and or sell copies of the software
+MIT | substantial | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+ISC | appear copies | provided that the above copyright notice and this permission notice appear in all copies
+BSD-2-Clause | redistributions retain | redistributions of source code must retain the above copyright notice
+BSD-2-Clause | redistributions binary | redistributions in binary form must reproduce the above copyright notice
+No-Liability | liable | in no event shall .{1,80} be liable for any
+No-Warranty | merchantability | implied warranties of merchantability( and| or)? fitness for a particular purpose
+No-Warranty | warranty | (there is|comes with) (absolutely )?no warranty
+GPL-linking-exception | exception linking | as a special exception (.{0,80} )?linking
+Classpath-exception-2.0 | classpath | (with the )?classpath exception
+GCC-exception-3.1 | gcc | gcc runtime library exception( % ?3 1)?
+LLVM-exception | llvm | (with )?llvm exceptions?
+Font-exception-2.0 | font exception | (with )?(the )?font exception
+Bison-exception-2.2 | bison | bison exception( % ?2 2)?
+Autoconf-exception | autoconf | autoconf( configure script)? exception
+OpenSSL-exception | openssl | openssl( linking)? exception
+JSON | evil | the software shall be used for good not evil
+Beerware | beer | you can buy me a beer in return
+PSF-2.0 | psf | psf is making python available to licensee on an as is basis
+SQLite-blessing | blessing | in place of a legal notice here is a blessing
+Public-Domain | copyright code | the authors? disclaims? copyright to this source code
+Public-Domain | domain | this (work|file|software|code) is in the public domain
+CC-BY | appropriate attribution | you must give appropriate credit (.{0,120} )?attribution
+CC-BY-NC | commercial | you may not use the material for commercial purposes
+CC-BY-SA | remix | if you remix transform or build upon the material you must distribute your contributions under the same license
+CC-BY-ND | remix | if you remix transform or build upon the material you may not distribute the modified material
 """
 
 #: Names: how texts call a license. ``-`` in a label's number is spelled out in the pattern.
@@ -86,12 +112,12 @@ AGPL-1.0 | affero | affero general public license % ?1( 0)?
 AGPL-3.0 | agpl | (gnu )?agpl % ?3( 0)?
 LGPL-3.0 | lesser | (gnu )?lesser general public license % ?3( 0)?
 LGPL-2.1 | lesser | (gnu )?lesser general public license % ?2 1
-LGPL-2.0 | library | (gnu )?library general public license % ?2( 0)?
+LGPL-2.0 | library general license | (gnu )?library general public license % ?2( 0)?
 LGPL-3.0 | lgpl | (gnu )?lgpl % ?3( 0)?
 LGPL-2.1 | lgpl | (gnu )?lgpl % ?2 1
-GPL-3.0 | general | (gnu )?general public license % ?3( 0)?
-GPL-2.0 | general | (gnu )?general public license % ?2( 0)?
-GPL-1.0 | general | (gnu )?general public license % ?1( 0)?
+GPL-3.0 | general public license | (gnu )?general public license % ?3( 0)?
+GPL-2.0 | general public license | (gnu )?general public license % ?2( 0)?
+GPL-1.0 | general public license | (gnu )?general public license % ?1( 0)?
 GPL-3.0 | gpl | (gnu )?gpl % ?3( 0)?
 GPL-2.0 | gpl | (gnu )?gpl % ?2( 0)?
 GPL-3.0 | gplv3 | (gnu )?gplv3
@@ -107,26 +133,26 @@ MPL-1.1 | mozilla | mozilla public license % ?1 1
 MPL-1.0 | mozilla | mozilla public license % ?1 0
 EPL-2.0 | eclipse | eclipse public license % ?2( 0)?
 EPL-1.0 | eclipse | eclipse public license % ?1 0
-EUPL-1.2 | union | european union public licen[cs]e % ?1 2
-EUPL-1.1 | union | european union public licen[cs]e % ?1 1
-CDDL-1.1 | development | common development and distribution license % ?1 1
-CDDL-1.0 | development | common development and distribution license( % ?1 0)?
-CPL-1.0 | common | common public license( % ?1 0)?
+EUPL-1.2 | european union | european union public licen[cs]e % ?1 2
+EUPL-1.1 | european union | european union public licen[cs]e % ?1 1
+CDDL-1.1 | common development distribution | common development and distribution license % ?1 1
+CDDL-1.0 | common development distribution | common development and distribution license( % ?1 0)?
+CPL-1.0 | common public license | common public license( % ?1 0)?
 IPL-1.0 | ibm | ibm public license( % ?1 0)?
-OSL-3.0 | open | open software license( % ?3 0)?
+OSL-3.0 | open software license | open software license( % ?3 0)?
 AFL-3.0 | academic | academic free license( % ?3 0)?
 ECL-2.0 | educational | educational community license( % ?2 0)?
 Artistic-2.0 | artistic | artistic license % ?2( 0)?
 Artistic-1.0 | artistic | artistic license( % ?1 0)?
 BSL-1.0 | boost | boost software license( % ?1 0)?
-PSF-2.0 | python | python software foundation license( % ?2)?
-PHP-3.01 | php | php license( % ?3 01)?
+PSF-2.0 | python foundation | python software foundation license( % ?2)?
+PHP-3.01 | php license | php license( % ?3 01)?
 Zend-2.0 | zend | zend( engine)? license( % ?2 0)?
-Ruby | ruby | ruby license
+Ruby | ruby license | ruby license
 OpenSSL | openssl | openssl license
 OLDAP-2.8 | openldap | openldap public license( % ?2 8)?
 PostgreSQL | postgresql | postgresql licen[cs]e
-NCSA | university | university of illinois.{0,10}ncsa open source license
+NCSA | university illinois license | university of illinois (.{0,10} )?ncsa open source license
 Zlib | zlib | zlib( libpng)? license
 Libpng | libpng | libpng license
 ISC | isc | isc license
@@ -135,22 +161,22 @@ Beerware | beer | beer ware license
 Beerware | beerware | beerware license
 WTFPL | wtfpl | wtfpl
 Unlicense | unlicense | (the )?unlicense
-Vim | vim | vim license
+Vim | vim license | vim license
 TCL | tcl | tcl tk license
 W3C | w3c | w3c (software|document)( notice and)? license
-Intel | intel | intel open source license
-MS-PL | microsoft | microsoft public license
-MS-RL | microsoft | microsoft reciprocal license
-APSL-2.0 | apple | apple public source license( % ?2 0)?
-QPL-1.0 | q | q public license( % ?1 0)?
-SISSL | sun | sun industry standards source license
+Intel | intel license | intel open source license
+MS-PL | microsoft public | microsoft public license
+MS-RL | microsoft reciprocal | microsoft reciprocal license
+APSL-2.0 | apple public license | apple public source license( % ?2 0)?
+QPL-1.0 | q public license | q public license( % ?1 0)?
+SISSL | sun industry license | sun industry standards source license
 CECILL-2.1 | cecill | cecill( free software license)?( agreement)?( % ?2 1)?
 OFL-1.1 | sil | sil open font license( % ?1 1)?
-ODbL-1.0 | database | open (data commons open )?database license( % ?1 0)?
-ODC-By-1.0 | commons | open data commons attribution license( % ?1 0)?
-PDDL-1.0 | domain | public domain dedication and license( % ?1 0)?
-SSPL-1.0 | server | server side public license( % ?1)?
-BUSL-1.1 | business | business source license( % ?1 1)?
+ODbL-1.0 | database license | open (data commons open )?database license( % ?1 0)?
+ODC-By-1.0 | commons attribution license | open data commons attribution license( % ?1 0)?
+PDDL-1.0 | domain dedication license | public domain dedication and license( % ?1 0)?
+SSPL-1.0 | server side public license | server side public license( % ?1)?
+BUSL-1.1 | business source license | business source license( % ?1 1)?
 Elastic-2.0 | elastic | elastic license( % ?2 0)?
 MulanPSL-2.0 | mulan | mulan permissive software license( % ?2)?
 BSD-4-Clause | bsd | (original|old|4 clause|four clause) bsd licen[cs]e
@@ -178,15 +204,76 @@ MIT | expat | expat licen[cs]e
 AGPL | affero | (gnu )?affero general public license
 AGPL | agpl | (gnu )?agpl
 LGPL | lesser | (gnu )?lesser general public license
-LGPL | library | (gnu )?library general public license
+LGPL | library general license | (gnu )?library general public license
 LGPL | lgpl | (gnu )?lgpl
-GPL | general | (gnu )?general public license
+GPL | general public license | (gnu )?general public license
 GPL | gpl | (gnu )?gpl
 GFDL | documentation | (gnu )?free documentation license
 Apache | apache | apache( software)? licen[cs]e
 MPL | mozilla | mozilla public licen[cs]e
 EPL | eclipse | eclipse public licen[cs]e
 EUPL | eupl | eupl
+BlueOak-1.0.0 | oak | blue oak model license( % ?1 0 0)?
+UPL-1.0 | universal permissive | universal permissive license( % ?1 0)?
+Parity-7.0.0 | parity | parity public license( % ?7 0 0)?
+PolyForm-Noncommercial-1.0.0 | polyform | polyform noncommercial license( % ?1 0 0)?
+PolyForm-Shield-1.0.0 | polyform | polyform shield license( % ?1 0 0)?
+PolyForm-Small-Business-1.0.0 | polyform | polyform small business license( % ?1 0 0)?
+CAL-1.0 | cryptographic | cryptographic autonomy license( % ?1 0)?
+Commons-Clause | clause commons | commons clause( license condition)?( % ?1 0)?
+Confluent-Community-1.0 | confluent | confluent community license( agreement)?( % ?1 0)?
+RSAL-2.0 | redis | redis source available license( % ?2( 0)?)?
+FSL-1.1 | functional | functional source license( % ?1 1)?
+Elastic-2.0 | elv2 | elv2
+Sleepycat | sleepycat | sleepycat( public| software)? license
+JSON | json | json license
+ICU | icu | icu license
+Info-ZIP | zip | info zip license
+IJG | jpeg | independent jpeg group license
+FTL | freetype | freetype( project)? licen[cs]e
+RPL-1.5 | reciprocal | reciprocal public license( % ?1 5)?
+RPSL-1.0 | realnetworks | realnetworks public source license
+SPL-1.0 | sun | sun public license( % ?1 0)?
+NPL-1.1 | netscape | netscape public license( % ?1 1)?
+NASA-1.3 | nasa | nasa open source agreement( % ?1 3)?
+LPPL-1.3c | latex | latex project public license( % ?1 3c?)?
+Nokia | nokia | nokia open source license
+EFL-2.0 | eiffel | eiffel forum license( % ?2)?
+Frameworx-1.0 | frameworx | frameworx( open)? license( % ?1 0)?
+ZPL-2.1 | zope | zope public license( % ?2 1)?
+Watcom-1.0 | watcom | (sybase )?open watcom public license
+wxWindows | wxwindows | wxwindows library licen[cs]e
+VSL-1.0 | vovida | vovida software license( % ?1 0)?
+SMLNJ | jersey | standard ml of new jersey license
+SimPL-2.0 | simple | simple public license( % ?2 0)?
+CNRI-Python | cnri | cnri python license
+OGL-UK-3.0 | government | open government licen[cs]e( % ?3 0)?
+etalab-2.0 | etalab | etalab( open)? licen[cs]e( % ?2 0)?
+LAL-1.3 | libre | (licence art libre|free art license libre)
+CDLA-Permissive-2.0 | permissive | community data license agreement permissive( % ?2 0)?
+CDLA-Sharing-1.0 | sharing | community data license agreement sharing( % ?1 0)?
+OpenRAIL | openrail | (creativeml )?openrail( m)?( license)?
+BigScience-RAIL-1.0 | bigscience | bigscience( open)? rail license( % ?1 0)?
+ClArtistic | clarified | clarified artistic license
+HPND | historical | historical permission notice and disclaimer
+MirOS | miros | miros licen[cs]e
+NTP | ntp | ntp license
+curl | curl | curl license
+bzip2 | bzip2 | bzip2( and libbzip2)? license
+libtiff | libtiff | libtiff license
+ImageMagick | imagemagick | imagemagick license
+CPAL-1.0 | attribution | common public attribution license( % ?1 0)?
+AAL | assurance | attribution assurance license
+CATOSL-1.1 | trusted | computer associates trusted open source license( % ?1 1)?
+OCLC-2.0 | oclc | oclc research public license( % ?2 0)?
+LiLiQ | quebec | licence libre du quebec
+MS-LPL | microsoft limited | microsoft limited public license
+GPL-3.0 | gpl3 | gpl3
+GPL-2.0 | gpl2 | gpl2
+LGPL-3.0 | lgpl3 | lgpl3
+AGPL-3.0 | agpl3 | agpl3
+GFDL | gfdl | (gnu )?gfdl
+CC-BY-SA | ccbysa | ccbysa
 """
 
 #: Identifiers as headers write them, after "spdx license identifier".

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.llm import licenses, mixing, quality, queries, sql
-from pairloom.llm.license_rules import BASE, Signature, signatures
+from pairloom.llm.license_rules import BASE, NAMES, NOTICES, Signature, signatures
 
 from llm_cases import SF, rows_of
 
@@ -31,7 +31,7 @@ def scanned(text, rules):
     norm = " " + " ".join(words) + " "
     found = []
     for r in rules:
-        if r.keyword not in words:
+        if not set(r.keyword.split()) <= set(words):
             continue
         for m in re.finditer(f"( (?:{r.pattern}))(?= )", norm):
             start = norm[: m.start()].count(" ")
@@ -72,8 +72,9 @@ def test_license_scan_equals_brute_force(spark, documents, edge_texts):
 def test_license_rules_are_sound():
     rules = signatures()
     assert len(rules) > 200 and [r.priority for r in rules] == list(range(len(rules)))
+    assert sum(len(t.strip().splitlines()) for t in (NOTICES, NAMES)) >= 200
     for r in rules:
-        assert re.compile(r.pattern) and re.search(rf"\b{r.keyword}", r.pattern.replace("?", "")), r
+        assert re.compile(r.pattern) and all(re.search(rf"\b{k}", r.pattern.replace("?", "")) for k in r.keyword.split()), r
 
 
 def matches(parsed):
@@ -101,7 +102,7 @@ def matches(parsed):
 def test_license_matches_hold_their_keyword():
     for r in signatures():
         for t in matches(re._parser.parse(r.pattern)):
-            assert r.keyword in t.split(), (r, t)
+            assert set(r.keyword.split()) <= set(t.split()), (r, t)
 
 
 def test_license_of_beerware_in_one_word(spark):
@@ -116,6 +117,14 @@ def test_license_order_decides_between_equals(spark):
     assert sorted(f.label for f in found) == ["first", "long"]
 
 
+def test_long_detections_suppress_whatever_lies_between(spark):
+    rules = (Signature(0, "long", "from", "from( w)* to", 1.0), Signature(1, "short", "w", "w", 0.5))
+    texts = ["from" + " w" * 5000 + " to w w", "w from w to " * 50]
+    rows = licenses.scan(spark.createDataFrame([(t,) for t in texts], "text string"), rules=rules).collect()
+    for r in rows:
+        assert sorted((f.start, f.end, f.label) for f in r.license.found) == scanned(r.text, rules)[2]
+
+
 def test_native_plans_hold_no_python(spark):
     for name in ("op1_license_scan", "op7_quality_rules", "op3_source_mixing"):
         assert not NO_PYTHON.search(plan_of(queries.QUERIES[name](spark, SF))), name
