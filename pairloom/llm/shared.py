@@ -9,12 +9,24 @@ from collections.abc import Callable, Iterator
 from functools import wraps
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 from pairloom.plans.tables import dropped, folder, fresh, written  # noqa: F401
 
 
+#: Bytes of a batch of rows on its way to a worker, unless the session says something else.
+ARROW_BYTES = 4 << 20
+_BYTES, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """An Arrow function whose worker gives freed memory back when its task ends: workers live on, and so would the memory."""
+    """An Arrow function whose worker gives freed memory back when its task ends: workers live on, and so would the memory.
+
+    Rows reach it in batches of bounded bytes: texts have any length, so a count of rows bounds nothing.
+    """
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get(_BYTES, _DEFAULT) == _DEFAULT:
+        session.conf.set(_BYTES, str(ARROW_BYTES))
 
     @wraps(run)
     def tidied(found: Iterator) -> Iterator:
