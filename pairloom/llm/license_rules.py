@@ -246,7 +246,6 @@ wxWindows | wxwindows | wxwindows library licen[cs]e
 VSL-1.0 | vovida | vovida software license( % ?1 0)?
 SMLNJ | jersey | standard ml of new jersey license
 SimPL-2.0 | simple | simple public license( % ?2 0)?
-CNRI-Python | cnri | cnri python license
 OGL-UK-3.0 | government | open government licen[cs]e( % ?3 0)?
 etalab-2.0 | etalab | etalab( open)? licen[cs]e( % ?2 0)?
 LAL-1.3 | libre | (licence art libre|free art license libre)
