@@ -28,6 +28,11 @@ def require_items(pairs: DataFrame, items: DataFrame) -> None:
         raise KeyError(f"{gone.count()} ids have no item, the first: {first}")
 
 
+def require_rows(df: DataFrame, what: str) -> None:
+    if df.isEmpty():
+        raise ValueError(f"{what}: there are no rows")
+
+
 def require_columns(df: DataFrame, names: list[str]) -> None:
     if gone := sorted(set(names) - set(df.columns)):
         raise ValueError(f"columns are missing: {gone}")

@@ -10,7 +10,7 @@ from pairloom.functions import text as X
 
 
 def item_records(items: DataFrame, normalize: bool = True) -> DataFrame:
-    """id, category, name, name_clean, name_compact, name_len, attrs, numbers, codes."""
+    """id, category, name, name_clean, name_compact, name_len, attrs, numbers, codes, tokens."""
     base = items.select(
         "id",
         X.or_null_name(F.col("category")).alias("category"),
@@ -28,8 +28,9 @@ def item_records(items: DataFrame, normalize: bool = True) -> DataFrame:
         X.compact(F.col("name_clean")).alias("name_compact"),
         F.length("name").alias("name_len"),
         "attrs",
-        X.number_tokens(F.col("full")).alias("numbers"),
+        X.number_tokens(F.col("full"), normalize).alias("numbers"),
         X.code_tokens(F.col("full_clean")).alias("codes"),
+        X.name_tokens(F.col("name_clean")).alias("tokens"),
     )
 
 
@@ -40,11 +41,16 @@ def item_texts(items: DataFrame, as_python: bool = False) -> DataFrame:
 
 
 def joined_pairs(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """Every pair with both items as the structs ``l`` and ``r``; a pair whose item is missing goes (see ``checks``)."""
+    """Every pair with both items as the structs ``l`` and ``r``. The job fails at a pair whose item is missing.
+
+    ``checks.require_items`` tells all missing ids beforehand.
+    """
     columns = F.struct(*items.columns)
     left = items.select(F.col("id").alias("id1"), columns.alias("l"))
     right = items.select(F.col("id").alias("id2"), columns.alias("r"))
-    return pairs.join(left, "id1").join(right, "id2")
+    both = pairs.join(left, "id1", "left").join(right, "id2", "left")
+    found = lambda side, i: F.when(F.col(side).isNull(), F.raise_error(F.concat(F.lit("id without an item: "), F.coalesce(F.col(i).cast("string"), F.lit("null"))))).otherwise(F.col(side))
+    return both.withColumn("l", found("l", "id1")).withColumn("r", found("r", "id2"))
 
 
 def with_category(pairs: DataFrame, items: DataFrame, fallback: bool = True) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Parts that the scores are cut in for the overall curve.
+from pairloom.plans import tables
+
+#: Parts that the scores are cut in, so that no task orders all scores of a group.
 PARTS = 64
 
 
@@ -31,29 +33,34 @@ def _steps(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
     return df.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("tp"), F.count("*").alias("n"))
 
 
+def _precision(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
+    """The curve is cut at quantiles of the scores, each group's part summed by itself and shifted by the parts above.
+
+    Scores are summed up once, as a table of different scores, which everything else reads.
+    """
+    steps = tables.written(_steps(df, by, label, score), "scores")
+    cuts = sorted(set(steps.approxQuantile(score, [i / PARTS for i in range(1, PARTS)], 1 / (4 * PARTS))))
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(score))) if cuts else F.lit(0)
+    steps = steps.withColumn("part", F.when(F.col(score).isNotNull(), place).otherwise(-1))
+    above = W.partitionBy(*by, F.lit(0)).orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)
+    sums = steps.groupBy(*by, "part").agg(F.sum("tp").alias("ptp"), F.sum("n").alias("pn"))
+    zero = F.lit(0).cast("long")
+    shifts = sums.select(*[F.col(c).alias(f"shift_{c}") for c in by], F.col("part").alias("shift_part"), F.coalesce(F.sum("ptp").over(above), zero).alias("stp"), F.coalesce(F.sum("pn").over(above), zero).alias("sn"))
+    same = F.lit(True)
+    for c in [*by, "part"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"shift_{c}"))
+    curve = _curve(steps, [*by, "part"], score).join(shifts, same)
+    return _summed(curve.withColumn("ctp", F.col("ctp") + F.col("stp")).withColumn("cn", F.col("cn") + F.col("sn")), by)
+
+
 def average_precision_by(df: DataFrame, by: str, label: str = "target", score: str = "score") -> DataFrame:
     """by, pairs, positives, positive_rate, average_precision; the last is null for a group without positives."""
-    return _summed(_curve(_steps(df, [by], label, score), [by], score), [by])
+    return _precision(df, [by], label, score)
 
 
 def average_precision(df: DataFrame, label: str = "target", score: str = "score") -> DataFrame:
-    """One row over all pairs.
-
-    The curve is cut at quantiles of the scores, each part summed by itself and shifted by the parts above, so
-    no task orders all scores.
-    """
-    steps = _steps(df, [], label, score)
-    cuts = sorted(set(steps.approxQuantile(score, [i / PARTS for i in range(1, PARTS)], 1 / (4 * PARTS))))
-    part = F.lit(0)
-    for i, c in enumerate(cuts, 1):
-        part = F.when(F.col(score) >= c, i).otherwise(part)
-    steps = steps.withColumn("part", part)
-    above = W.orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)
-    sums = steps.groupBy("part").agg(F.sum("tp").alias("ptp"), F.sum("n").alias("pn"))
-    zero = F.lit(0).cast("long")
-    shifts = sums.select("part", F.coalesce(F.sum("ptp").over(above), zero).alias("stp"), F.coalesce(F.sum("pn").over(above), zero).alias("sn"))
-    curve = _curve(steps, ["part"], score).join(F.broadcast(shifts), "part")  # PARTS rows at most
-    return _summed(curve.withColumn("ctp", F.col("ctp") + F.col("stp")).withColumn("cn", F.col("cn") + F.col("sn")), [])
+    """One row over all pairs."""
+    return _precision(df, [], label, score)
 
 
 def macro(by_group: DataFrame, rule: str = "skip") -> DataFrame:

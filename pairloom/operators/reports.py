@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.attributes import sorted_json
+from pairloom.plans import tables
 
 from . import metrics
 from .scoring import heuristics
@@ -28,9 +29,11 @@ def hard_errors(scored: DataFrame, records: DataFrame, top: int = 100, score: st
 
 def baseline_report(features: DataFrame) -> DataFrame:
     """experiment, category, pairs, positives, positive_rate, average_precision of each heuristic."""
+    known = heuristics()
+    features = tables.written(features.select("category", "target", *[c.alias(n) for n, c in known.items()]), "heuristics")
     out = None
-    for name, score in heuristics().items():
-        one = metrics.average_precision_by(features.select("category", "target", score.alias("score")), "category")
+    for name in known:
+        one = metrics.average_precision_by(features.select("category", "target", F.col(name).alias("score")), "category")
         one = one.select(F.lit(name).alias("experiment"), *one.columns)
         out = one if out is None else out.unionByName(one)
     return out

@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 MIN_SUPPORT = 5
 SEED = 42
 TOP = 100
+#: Hard negatives of a category.
+HARD = 4000
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -219,7 +221,7 @@ def confident_antijoin(spark, sf):
 
 @query
 def hard_negatives_topk(spark, sf):
-    return joint.hard_negatives(pairs_part(spark, sf), scores(spark, sf), per_category=TOP)
+    return joint.hard_negatives(pairs_part(spark, sf), scores(spark, sf), per_category=HARD)
 
 
 @query
@@ -232,7 +234,7 @@ def _joint(spark, sf):
     soft = soft_pairs(spark, sf)
     able = joint.without_items(joint.confident(soft), _val_ids(spark, sf))
     n = able.agg(F.count_if(F.col("target") >= joint.HIGH), F.count_if(F.col("target") <= joint.LOW)).first()
-    hard = joint.hard_negatives(human, scores(spark, sf), per_category=TOP)
+    hard = joint.hard_negatives(human, scores(spark, sf), per_category=HARD)
     return joint.joint_pairs(human, soft, _val_ids(spark, sf), n[0] // 2, n[1] // 2, hard, 4, SEED)
 
 
@@ -261,7 +263,7 @@ def target_histogram(spark, sf):
 def id_signature(spark, sf):
     ids = checks.pair_ids(pairs_part(spark, sf))
     one = F.lit(1).alias("k")
-    return io.signature(ids).select("*", one).join(io.ordered_signature(ids).select("*", one), "k").drop("k")
+    return io.signature(ids).select("*", one).join(io.range_signature(ids).select("*", one), "k").drop("k")
 
 
 @query
@@ -295,3 +297,67 @@ class _Overlap:
 def text_pair_score(spark, sf):
     texts = items.item_texts(items_part(spark, sf))
     return scoring.score_texts(pairs_part(spark, sf), texts, _Overlap()).withColumn("predict", F.round("predict", 6))
+
+
+@query
+def submission(spark, sf):
+    """Every pair scored, some listed twice."""
+    pairs = pairs_part(spark, sf)
+    twice = pairs.unionByName(pairs.where("id1 % 5 = 0"))
+    return scoring.submission(items_part(spark, sf), twice, _Overlap()).withColumn("predict", F.round("predict", 6))
+
+
+@query
+def logit_heads(spark, sf):
+    """One logit and two, beyond the bounds too."""
+    x = (F.col("id1") - F.col("id2")).cast("double") / 7.0
+    return pairs_part(spark, sf).select("id1", "id2", F.round(X.sigmoid(x), 6).alias("one"), F.round(X.softmax_of_two(x, -x), 6).alias("two"))
+
+
+@query
+def csv_statistics(spark, sf):
+    """Attribute statistics by way of a CSV file."""
+    path = tables.fresh(spark, "stats")
+    io.write_csv(features.attribute_stats(pairs_part(spark, sf), records_part(spark, sf)), path)
+    return io.read_attribute_stats(spark, path)
+
+
+@query
+def feature_table(spark, sf):
+    """Features as a trainer reads them: written, of fixed types, a missing column 0."""
+    path = tables.fresh(spark, "features")
+    names = ["id1", "id2", "target", "category", "name_length_a", "numbers_a_count", "attr_state__none"]
+    io.write_features(features.with_columns(_features(spark, sf), names), path)
+    rows = io.row_count(spark, path)
+    found = spark.read.parquet(path)
+    return found.select("id1", "id2", F.col("target").cast("long").alias("target"), "category", *[F.col(c).cast("double").alias(c) for c in names[4:]], F.lit(rows).cast("long").alias("rows"))
+
+
+@query
+def split_checks(spark, sf):
+    """What the checks look for, as counts: items on both sides, components of several categories, pairs across a split."""
+    labelled = tables.written(split.component_table(pairs_part(spark, sf)), "checked")
+    train, val = split.train_and_val(split.split_pairs(pairs_part(spark, sf)))
+    checks.require_columns(train, ["id1", "id2", "target", "category"])
+    shared = checks.pair_ids(train).join(checks.pair_ids(val), "id", "left_semi").agg(F.count("*").alias("shared_items"))
+    mixed = labelled.groupBy("component").agg(F.count_distinct("category").alias("n")).where("n > 1").agg(F.count("*").alias("mixed_components"))
+    ends = labelled.select("component", F.explode(F.array("id1", "id2")).alias("id")).groupBy("id").agg(F.count_distinct("component").alias("n"))
+    return shared.crossJoin(F.broadcast(mixed)).crossJoin(F.broadcast(ends.where("n > 1").agg(F.count("*").alias("items_of_two_components"))))  # one row each
+
+
+@query
+def mined_summary(spark, sf):
+    """One turn of mining, by origin and category."""
+    human, soft = pairs_part(spark, sf), soft_pairs(spark, sf)
+    out = joint.mined_pairs(human, soft, _val_ids(spark, sf), items.item_texts(items_part(spark, sf)), _Overlap(), 10, 10, 50, 2, SEED)
+    return joint.joint_summary(out.where("origin in ('hard', 'human')"))
+
+
+@query
+def model_trees_early_stop(spark, sf):
+    """Trees fitted on the training side, their rounds ended by the validation side."""
+    f = tables.written(_features(spark, sf), "features")
+    side = split.split_pairs(pairs_part(spark, sf)).select("id1", "id2", "is_val")
+    f = tables.written(f.join(side, ["id1", "id2"]), "features")
+    model = scoring.fit_trees(f.where("NOT is_val"), validation=f.where("is_val"))
+    return scoring.predicted(model, f.where("is_val")).select("id1", "id2", "target", "category", "prediction")

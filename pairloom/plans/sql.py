@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .fixtures import with_views
 
-MIN_SUPPORT, SEED, TOP = 5, 42, 100
+MIN_SUPPORT, SEED, TOP, HARD_NEGATIVES = 5, 42, 100, 4000
 
 CLEAN = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
 
@@ -93,7 +93,7 @@ LANG_COUNT = "(SELECT count(*) * 3 // 5 FROM docs)"
 VAL = "val AS (SELECT id FROM items_part WHERE id % 11 = 0)"
 ABLE = "able AS (SELECT * FROM soft_pairs WHERE (target >= 0.7::DOUBLE OR target <= 0.3::DOUBLE) AND id1 NOT IN (SELECT id FROM val) AND id2 NOT IN (SELECT id FROM val))"
 HARD = f"""hard AS (SELECT id1, id2, target, category FROM (SELECT p.*, row_number() OVER (PARTITION BY category ORDER BY cross_encoder_score DESC, id1, id2) AS k
- FROM pairs_part p JOIN scores USING (id1, id2) WHERE target <= 0.0) WHERE k <= {TOP})"""
+ FROM pairs_part p JOIN scores USING (id1, id2) WHERE target <= 0.0) WHERE k <= {HARD_NEGATIVES})"""
 
 
 def _drawn(name: str, where: str, seed: int) -> str:
@@ -173,8 +173,31 @@ SELECT kind, id1, id2, score, l.name AS name1, '{{"brand":"' || l.brand || '","s
  FROM e JOIN records l ON id1 = l.id JOIN records r ON id2 = r.id""",
     "target_histogram": f"{with_views('pairs_part', 'soft_pairs')}\nSELECT floor(target * 10)::BIGINT AS tenth, count(*)::BIGINT AS rows FROM soft_pairs GROUP BY 1",
     "id_signature": f"""{with_views("pairs_part")}, i AS (SELECT id1 AS x FROM pairs_part UNION SELECT id2 FROM pairs_part)
-SELECT count(*)::BIGINT AS n, sum(x)::BIGINT AS total, min(x) AS least, max(x) AS greatest, bit_xor(('0x' || substr(md5(x::VARCHAR), 1, 15))::BIGINT) AS hash, sha256(string_agg(x || chr(10), '' ORDER BY x)) AS sha256 FROM i""",
+SELECT count(*)::BIGINT AS n, sum(x)::BIGINT AS total, min(x) AS least, max(x) AS greatest, bit_xor(('0x' || substr(md5(x::VARCHAR), 1, 15))::BIGINT) AS hash, any_value(sha256) AS sha256 FROM i,
+ (SELECT sha256(string_agg(digest, '' ORDER BY k)) AS sha256 FROM (SELECT floor(x / 65536.0)::BIGINT AS k, sha256(string_agg(x || chr(10), '' ORDER BY x)) AS digest FROM i GROUP BY k))""",
     "text_pair_score": f"""{with_views("items_part", "pairs_part")},
 t AS (SELECT id, list_distinct(string_split('Name: ' || name || ' Category: ' || category || ' Attributes: brand: ' || brand || ' size: ' || size, ' ')) AS ws FROM items_part)
 SELECT id1, id2, round({COMMON.format("l.ws", "r.ws")}::DOUBLE / {UNION.format("l.ws", "r.ws")}::DOUBLE, 6) AS predict FROM pairs_part JOIN t l ON id1 = l.id JOIN t r ON id2 = r.id""",
 }
+
+_WORDS = "t AS (SELECT id, list_distinct(string_split('Name: ' || name || ' Category: ' || category || ' Attributes: brand: ' || brand || ' size: ' || size, ' ')) AS ws FROM items_part)"
+_SHARE = f"{COMMON.format('l.ws', 'r.ws')}::DOUBLE / {UNION.format('l.ws', 'r.ws')}::DOUBLE"
+
+ORACLE_SQL |= {
+    "submission": f"""{with_views("items_part", "pairs_part")}, {_WORDS}, twice AS (SELECT id1, id2 FROM pairs_part UNION ALL SELECT id1, id2 FROM pairs_part WHERE id1 % 5 = 0)
+SELECT id1, id2, round({_SHARE}, 6) AS predict FROM twice JOIN t l ON id1 = l.id JOIN t r ON id2 = r.id""",
+    "logit_heads": f"""{with_views("pairs_part")}, x AS (SELECT id1, id2, (id1 - id2)::DOUBLE / 7.0::DOUBLE AS x FROM pairs_part)
+SELECT id1, id2, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-greatest(-30.0::DOUBLE, least(30.0::DOUBLE, x)))), 6) AS one,
+ round(1.0::DOUBLE / (1.0::DOUBLE + exp(-greatest(-700.0::DOUBLE, least(700.0::DOUBLE, -2.0::DOUBLE * x)))), 6) AS two FROM x""",
+    "csv_statistics": ORACLE_SQL["attribute_stats"],
+    "feature_table": f"""{with_views("items_part", "pairs_part")}, {RECORDS}, {PAIRED}
+SELECT id1, id2, (target >= 0.5)::BIGINT AS target, category, n1::DOUBLE AS name_length_a, len(a)::DOUBLE AS numbers_a_count, 0.0::DOUBLE AS attr_state__none, count(*) OVER () AS rows FROM p""",
+    "split_checks": f"""{SPLIT}, ends AS (SELECT DISTINCT is_val, id1 AS id FROM sp UNION SELECT is_val, id2 FROM sp),
+mixed AS (SELECT component FROM labelled GROUP BY component HAVING count(DISTINCT category) > 1),
+both_ AS (SELECT id FROM (SELECT component, id1 AS id FROM labelled UNION SELECT component, id2 FROM labelled) GROUP BY id HAVING count(DISTINCT component) > 1)
+SELECT (SELECT count(*) FROM (SELECT id FROM ends GROUP BY id HAVING count(*) > 1)) AS shared_items, (SELECT count(*) FROM mixed) AS mixed_components, (SELECT count(*) FROM both_) AS items_of_two_components""",
+    "mined_summary": f"""{with_views("items_part", "pairs_part")}, {_WORDS},
+h AS (SELECT p.category, row_number() OVER (PARTITION BY p.category ORDER BY {_SHARE} DESC, id1, id2) AS k FROM pairs_part p JOIN t l ON id1 = l.id JOIN t r ON id2 = r.id WHERE target <= 0.0)
+SELECT 'hard' AS origin, category, 2 * count(*)::BIGINT AS rows, 0::BIGINT AS positives FROM h WHERE k <= 50 GROUP BY category
+UNION ALL SELECT 'human', category, 4 * count(*)::BIGINT, 4 * sum((target >= 0.5)::INT)::BIGINT FROM pairs_part GROUP BY category""",
+}

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of its own is set only where that is unset, as in tests."""
+    """spark.checkpoint.dir of the session; where that is unset, as in tests, a folder of its own. On a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pairloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -46,6 +46,16 @@ def write_parquet(df: DataFrame, path: str, force: bool = True) -> None:
     df.write.mode("overwrite" if force else "ignore").option("compression", "zstd").parquet(path)
 
 
+def write_features(df: DataFrame, path: str) -> None:
+    """A zstd Parquet table that must not be empty: ValueError, and no table, if there are no rows."""
+    write_parquet(df, path)
+    if not row_count(df.sparkSession, path):
+        spark = df.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        raise ValueError(f"there are no rows for {path}")
+
+
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     """CSV with a header; one_file only for small reports."""
     (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
@@ -69,6 +79,25 @@ def signature(ids: DataFrame, column: str = "id") -> DataFrame:
     )
 
 
+def source_signature(spark: SparkSession, path: str, ids: DataFrame, column: str = "id") -> DataFrame:
+    """``signature`` with the size and the last change of the files that the ids come from."""
+    files = spark.read.format("binaryFile").load(path).select("length", "modificationTime")
+    about = files.agg(F.sum("length").alias("source_bytes"), F.max("modificationTime").alias("source_changed"))
+    return signature(ids, column).crossJoin(F.broadcast(about))  # one row each
+
+
+def range_signature(ids: DataFrame, column: str = "id", width: int = 1 << 16) -> DataFrame:
+    """SHA-256 over the digests of ranges of ``width`` numbers, in their order; a range's is over its ids, a line for each.
+
+    No task sees more than ``width`` ids, or one digest of each range.
+    """
+    one = ids.select(F.col(column).cast("long").alias("x")).distinct()
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat(x.cast("string"), F.lit("\n"))), "")
+    ranges = one.groupBy(F.floor(F.col("x") / width).alias("k")).agg(F.sha2(lines, 256).alias("digest"))
+    every = F.transform(F.array_sort(F.collect_list(F.struct("k", "digest"))), lambda s: s["digest"])
+    return ranges.agg(F.sha2(F.array_join(every, ""), 256).alias("sha256"))
+
+
 def ordered_signature(ids: DataFrame, column: str = "id") -> DataFrame:
     """SHA-256 over the ids in ascending order, a line for each. It gathers all ids in one row: for small sets; see ``signature``."""
     one = ids.select(F.col(column).cast("long").alias("x")).distinct()

@@ -168,6 +168,93 @@ def test_checks(spark):
     assert named == {99: "food", 3: "<NULL>"}
 
 
+def test_names_and_numbers_beyond_the_plain_letters(spark):
+    cards = spark.createDataFrame([(1, "болт １２мм", '{"Объём чёрный":"x"}', "чай"), (2, "болт 12мм", '{"Объём чёрный":"y"}', "чай")], ITEMS)
+    pairs = spark.createDataFrame([(1, 2, 1.0)], "id1 long, id2 long, target double")
+    records = items.item_records(cards)
+    assert [r.numbers for r in records.orderBy("id").collect()] == [["12мм"], ["12мм"]]
+    stats = spark.createDataFrame([("чай", "Объём чёрный", 300), ("чай", "объем", 300)], "category string, attribute string, pairs_with_attribute_both long")
+    assert [x.column for x in features.attribute_specs(stats)] == ["attr_state__чай__Объ_м_ч_рный", "attr_state__чай__объем"]
+    row = features.pair_features(pairs, records).first()
+    assert (row.number_match, row.number_conflict, row.numbers_jaccard, row.numbers_union_count) == (1, 0, 1.0, 1)
+
+
+def length(two=False):
+    """A scorer of two logits, or of one, that travels to workers by itself."""
+
+    class Length:
+        def load(self):
+            return lambda left, right: [[0.0, len(a) - len(b)] if two else len(a) - len(b) for a, b in zip(left, right, strict=True)]
+
+    return Length()
+
+
+def test_missing_items_stop_features_and_scores(spark):
+    cards = spark.createDataFrame(CARDS, ITEMS)
+    pairs = spark.createDataFrame([(1, 2, 1.0), (1, 99, 1.0)], "id1 long, id2 long, target double")
+    with pytest.raises(Exception, match="id without an item: 99"):
+        features.pair_features(pairs, items.item_records(cards)).collect()
+    with pytest.raises(Exception, match="id without an item: 99"):
+        scoring.score_texts(pairs, items.item_texts(cards), length()).collect()
+    with pytest.raises(KeyError, match="99"):
+        scoring.submission(cards, pairs, length())
+
+
+def test_submission_keeps_order_and_repeats(spark, tmp_path):
+    cards = spark.createDataFrame(CARDS, ITEMS)
+    ids = [(4, 1), (1, 2), (4, 1), (2, 1)]
+    pairs = spark.createDataFrame(ids, "id1 long, id2 long").coalesce(1)
+    for two in (False, True):
+        rows = scoring.submission(cards, pairs, length(two), logits=True).collect()
+        assert [(r.id1, r.id2) for r in rows] == ids
+        texts = {r.id: r.text for r in items.item_texts(cards).collect()}
+        assert [r.predict for r in rows] == [pytest.approx(1 / (1 + 2.718281828459045 ** (len(texts[b]) - len(texts[a])))) for a, b in ids]
+    from pairloom import __main__ as cli
+
+    io.write_parquet(cards, str(tmp_path / "items"))
+    io.write_parquet(pairs, str(tmp_path / "pairs"))
+    cli.main(["submission", "--items-path", str(tmp_path / "items"), "--matches_path", str(tmp_path / "pairs"), "-o", str(tmp_path / "out"), "--scorer", "pairloom.plans.queries:_Overlap"])
+    (file,) = (tmp_path / "out").glob("*.csv")
+    assert [line.split(",")[:2] for line in file.read_text().split()] == [["id1", "id2"], *[[str(a), str(b)] for a, b in ids]]
+
+
+def test_heads_and_truncation():
+    assert scoring.head([0.0, 800.0, -800.0]).tolist() == [0.5, 1.0, 0.0]
+    assert scoring.head([[0.0], [0.0]]).tolist() == [0.5, 0.5]
+    assert scoring.head([[1.0, 1.0, 1.0]]).tolist() == [pytest.approx(1 / 3)]
+    for a, b, want in ((300, 5, (248, 5)), (5, 300, (5, 248)), (300, 300, (126, 127)), (200, 127, (127, 126)), (100, 100, (100, 100)), (0, 400, (0, 253))):
+        left, right = scoring.truncated_pair(list(range(a)), list(range(b)))
+        assert (len(left), len(right)) == want and left == list(range(len(left)))
+
+
+def test_samples_of_repeated_keys_repeat(spark):
+    df = spark.range(400).select((F.col("id") % 3).alias("id"), F.col("id").alias("row"), F.lit("a").alias("category"))
+    a, b = (sorted(r.row for r in sampling.balanced_sample(d, 150, 5, ["id"]).collect()) for d in (df.repartition(7), df.repartition(2, "row")))
+    assert a == b and len(a) == 150
+
+
+def test_one_category_with_nearly_all_rows(spark):
+    rng = random.Random(8)
+    rows = [("big" if i % 50 else "small", int(rng.random() < 0.2), rng.random()) for i in range(4000)] + [(None, 1, 0.5), ("big", 0, None)]
+    df = spark.createDataFrame(rows, "category string, target int, score double")
+    got = {r.category: r.average_precision for r in metrics.average_precision_by(df, "category").collect()}
+    for c in ("big", "small"):
+        assert got[c] == pytest.approx(precision([(y, -1 if s is None else s) for k, y, s in rows if k == c]))
+    assert got[None] == 1.0
+    parts = [(i, "one", 1) for i in range(3000)] + [(3000 + i, "one", 700) for i in range(4)]
+    got = split.validation_components(spark.createDataFrame(parts, "component long, category string, pairs long"), 0.3, 3)
+    assert {r.component for r in got.collect()} == chosen([(i, c, n) for i, c, n in parts], 0.3, 3)
+
+
+def test_early_stop_and_categories_as_sets(spark):
+    rng = random.Random(4)
+    rows = [(i, i, int((c in "ad") != (rng.random() < 0.05)), c, rng.random()) for i, c in enumerate(rng.choices("abcdef", k=600))]
+    f = spark.createDataFrame(rows, "id1 long, id2 long, target int, category string, x double").cache()
+    model = scoring.fit_trees(f.where("id1 < 400"), ["x"], rounds=20, depth=2, validation=f.where("id1 >= 400"))
+    assert model.stages[-1].getNumTrees < 20
+    assert " in {" in model.stages[-1].toDebugString
+
+
 def test_scorers_and_reports(spark):
     cards = spark.createDataFrame([(i, f"item {i % 7} k{i}", '{"a":"1"}', f"c{i % 2}") for i in range(60)], ITEMS)
     pairs = spark.createDataFrame([(i, j, float(i % 7 == j % 7)) for i in range(60) for j in range(i + 1, 60, 3)], "id1 long, id2 long, target double")
@@ -196,6 +283,13 @@ def test_io(spark, tmp_path):
     assert "ключ" in (tmp_path / "r" / "x.json").read_text(encoding="utf-8")
     import hashlib
 
+    with pytest.raises(ValueError):
+        io.write_features(cards.limit(0), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
     ids = spark.createDataFrame([(10,), (9,), (10,), (-1,)], "id long")
+    about = io.source_signature(spark, path, ids).first()
+    assert about.n == 3 and about.source_bytes > 100 and about.source_changed is not None
+    digest = lambda *lines: hashlib.sha256("".join(f"{x}\n" for x in lines).encode()).hexdigest()
+    assert io.range_signature(ids, width=10).first()[0] == hashlib.sha256((digest(-1) + digest(9) + digest(10)).encode()).hexdigest()
     assert io.ordered_signature(ids).first()[0] == hashlib.sha256(b"-1\n9\n10\n").hexdigest()
     assert tuple(io.signature(ids).first())[:4] == (3, 18, -1, 10)
