@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from . import shared, tokens
 
 BLOCK_BYTES = 1 << 16
+#: A task begins another shard when one has so many bytes, so what a writer holds is bounded.
+SHARD_BYTES = 256 << 20
 RESTART = 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"PLSSTAB1"
@@ -152,6 +154,7 @@ class Reader:
             (n,) = struct.unpack_from("<I", data, at)
             self.index.append((data[at + 4 : at + 4 + n], *struct.unpack_from("<QII", data, at + 4 + n)))
             at += 20 + n
+        self.last_keys = [k for k, *_ in self.index]
         self.zstd = zstandard.ZstdDecompressor()
 
     def _at(self, offset: int, size: int) -> bytes:
@@ -190,10 +193,13 @@ class Reader:
 
     def get(self, key: bytes) -> list[bytes]:
         """The values of every entry with this key."""
-        out: list[bytes] = []
+        return list(self.find(key))
+
+    def find(self, key: bytes) -> Iterator[bytes]:
+        """The values of every entry with this key, one after the other: by the filter and a binary search."""
         if not self.may_hold(key):
-            return out
-        i = bisect_left([k for k, *_ in self.index], key)
+            return
+        i = bisect_left(self.last_keys, key)
         while i < len(self.index):
             data, restarts = self._block(i)
             low, high = 0, len(restarts)
@@ -205,51 +211,64 @@ class Reader:
                     high = mid
             for k, v in self._entries(data, restarts[max(0, low - 1)]):
                 if k > key:
-                    return out
+                    return
                 if k == key:
-                    out.append(v)
+                    yield v
             i += 1
-        return out
 
 
-def write_shards(df: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text: str = "text", shards: int | None = None) -> list[tuple[str, int, int]]:
+def write_shards(df: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text: str = "text", shards: int | None = None, shard_bytes: int = SHARD_BYTES) -> list[tuple[str, int, int]]:
     """Writes the documents' ids as shards in the shared folder; (uri, documents, ids) of each in key order.
 
     Rows are dealt by ranges of their identifiers, so the shards follow each other. Null identifiers come
-    first; rows with one identifier lie in one shard, ordered by text, and are all kept. Null texts are empty
-    and hold the end id alone. Each try of a task writes a file of its own name, and only the files that the
+    first; rows with one identifier follow each other by their texts' hashes, over several shards if they are
+    many, and are all kept. Null texts are empty and hold the end id alone; an empty table has no shards, and
+    other columns are not read. Each try of a task writes files of its own name, and only the files that the
     finished tries name are read, so lost executors leave no wrong shard behind. The driver gets one row for
     each shard.
     """
     spark = df.sparkSession
     root = shared.fresh(spark, "shards")
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    order = [F.col("id").asc_nulls_first(), F.col("mark"), F.col("text")]
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("mark"))
+    dealt = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, writer, uri = tokens.encoder(vocabulary), None, ""
+        enc, writer, uri, task, seq = tokens.encoder(vocabulary), None, "", TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4")
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            return pa.RecordBatch.from_pylist([{"shard": task, "seq": seq, "uri": uri, "documents": writer.documents, "ids": writer.ids}])
+
         for b in batches:
-            if writer is None and b.num_rows:
-                uri = f"{root}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst"
-                fs, path = pafs.FileSystem.from_uri(uri)
-                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                writer = Writer(fs.open_output_stream(path, buffer_size=1 << 20))
             keys = [key_of(x) for x in b.column(0).to_pylist()]
             for first, ids, offsets in enc.batches(b.column(1)):
                 for i in range(len(offsets) - 1):
+                    if writer is None:
+                        uri = f"{root}/shard-{task:06d}-{seq:04d}-{uuid.uuid4().hex}.sst"
+                        fs, path = pafs.FileSystem.from_uri(uri)
+                        fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                        writer = Writer(fs.open_output_stream(path, buffer_size=1 << 20))
                     own = np.concatenate([ids[offsets[i] : offsets[i + 1]], end])
                     writer.add(keys[first + i], pack_ids(own), len(own))
+                    if writer.at >= shard_bytes:
+                        yield closed()
+                        writer, seq = None, seq + 1
         if writer is not None:
-            writer.close()
-            yield pa.RecordBatch.from_pylist([{"shard": TaskContext.get().partitionId(), "uri": uri, "documents": writer.documents, "ids": writer.ids}])
+            yield closed()
 
-    made = dealt.mapInArrow(shared.frugal(run), "shard long, uri string, documents long, ids long").collect()
-    return [(r.uri, r.documents, r.ids) for r in sorted(made, key=lambda r: r.shard)]
+    made = dealt.mapInArrow(shared.frugal(run), "shard long, seq long, uri string, documents long, ids long").collect()
+    return [(r.uri, r.documents, r.ids) for r in sorted(made, key=lambda r: (r.shard, r.seq))]
 
 
 def read_shards(spark: SparkSession, shards: list[tuple[str, int, int]], id_col: str = "doc_id") -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every document, read back from the shards, one block at a time."""
+    """(id, start, n_tokens, ids_crc32) of every document, read back from the shards, one block at a time.
+
+    The first new key of each block is also looked up, by filter, index and binary search; a shard that doesn't
+    give what the block holds fails the job.
+    """
     starts = np.cumsum([0, *[n for *_, n in shards]]).tolist()
     uris = [u for u, *_ in shards]
 
@@ -257,9 +276,15 @@ def read_shards(spark: SparkSession, shards: list[tuple[str, int, int]], id_col:
         for b in batches:
             for k in b.column(0).to_pylist():
                 at = starts[k]
-                for block in Reader(uris[k]).blocks():
-                    rows = []
+                reader, last = Reader(uris[k]), b""
+                for block in reader.blocks():
+                    rows, looked = [], False
                     for key, value in block:
+                        if key != last and not looked:
+                            looked = True
+                            if next(reader.find(key), None) != value:
+                                raise ValueError(f"a lookup in {uris[k]} fails")
+                        last = key
                         ids = unpack_ids(value)
                         rows.append((identifier_of(key), at, len(ids), zlib.crc32(ids.tobytes())))
                         at += len(ids)

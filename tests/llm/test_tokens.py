@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pairloom.llm import packing, sstable, token_counts, tokens
 
@@ -106,6 +107,15 @@ def test_shards_of_edges(spark, edges, edge_texts, empty):
     assert shard_rows(spark, empty)[1] == []
 
 
+def test_shards_of_bounded_size(spark, documents):
+    many = documents.select("doc_id", "text").unionByName(documents.selectExpr("7L as doc_id", "text")).withColumn("id", F.lit(1)).withColumn("mark", F.lit(2))
+    shards = sstable.write_shards(many, tokens.vocabulary(NAMES[0]), 2, shards=3, shard_bytes=1 << 16)
+    rows = sstable.read_shards(spark, shards).collect()
+    assert len(shards) > 3 and len(rows) == many.count() and sum(r.n_tokens for r in rows) == sum(n for *_, n in shards)
+    ids = [r.doc_id for r in sorted(rows, key=lambda r: r.start)]
+    assert ids == sorted(ids)
+
+
 def test_many_blocks_and_keys(tmp_path):
     path = tmp_path / "x.sst"
     writer = sstable.Writer(open(path, "wb"))
