@@ -10,23 +10,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import shared, tiff
 
 ROW = 64
 #: Bytes of one page; longer payloads go on in further pages.
 PAGE_BYTES = 1 << 16
-#: How a payload is stored, by its CRC: (compression, predictor, tile side).
-FORMS = (
-    (tiff.PACKBITS, 1, 0),
-    (tiff.DEFLATE, 2, 0),
-    (tiff.DEFLATE, 1, 32),
-    (tiff.LZW, 1, 0),
-    (tiff.PACKBITS, 1, 32),
-    (tiff.DEFLATE, 2, 32),
-    (tiff.PACKBITS, 2, 0),
-    (tiff.DEFLATE, 1, 0),
-)
+#: How a payload is stored, by its CRC: (compression, predictor, tile side), a third of the payloads by each compression.
+FORMS = tuple((c, predictor, tile) for c in (tiff.PACKBITS, tiff.LZW, tiff.DEFLATE) for predictor, tile in ((1, 0), (2, 0), (1, 32)))
 #: Rows of a flushed batch hold about so many bytes.
 FLUSH_BYTES = 4 << 20
 
@@ -48,13 +40,15 @@ def stored(data: bytes) -> bytes:
 PAGE_SCHEMA = "page int, width int, height int, channels int, compression int, predictor int, tiled boolean, samples binary, error string"
 
 
-def pages(df: DataFrame, id_col: str, media: str) -> DataFrame:
-    """A row for each page of every file in the column ``media``, with its decoded samples.
+def pages(df: DataFrame, id_col: str, media: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each page of every file in the column ``media``, with its decoded samples and the columns ``keep``.
 
     A null, empty or broken file gives one row with ``error`` set and no samples, after the pages that could
-    be read. Ids may be null or repeated. Nothing is shuffled; a worker holds one file and a few MB of pages.
+    be read; an empty table gives none. Ids may be null or repeated. A file's pages follow each other in one
+    partition, each a whole image. Nothing is shuffled; a worker holds one file and a few MB of pages.
     """
-    kind = df.schema[id_col].dataType.simpleString()
+    kept = [id_col, *keep]
+    head = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
     names = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]
     types = [pa.int32()] * 6 + [pa.bool_(), pa.binary(), pa.string()]
 
@@ -67,37 +61,50 @@ def pages(df: DataFrame, id_col: str, media: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, rows, held = [], [], 0
+            of, rows, held = [], [], 0
 
             def flush() -> pa.RecordBatch:
-                columns = list(zip(*rows, strict=True))
-                return pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=[id_col, *names])
+                columns, file = list(zip(*rows, strict=True)), pa.array(of, pa.int64())
+                return pa.RecordBatch.from_arrays([*[b.column(k).take(file) for k in range(len(kept))], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=[*kept, *names])
 
             for i in range(b.num_rows):
-                for row in rows_of(b.column(1)[i].as_py()):
-                    ids.append(b.column(0)[i].as_py())
+                for row in rows_of(b.column(len(kept))[i].as_py()):
+                    of.append(i)
                     rows.append(row)
                     held += len(row[7] or b"")
                     if held > FLUSH_BYTES:
                         yield flush()
-                        ids, rows, held = [], [], 0
+                        of, rows, held = [], [], 0
             if rows:
                 yield flush()
 
-    return df.select(id_col, media).mapInArrow(shared.frugal(run), f"`{id_col}` {kind}, {PAGE_SCHEMA}")
+    return df.select(*kept, media).mapInArrow(shared.frugal(run), f"{head}, {PAGE_SCHEMA}")
 
 
 def stored_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_bytes, media): every whole text as a TIFF file. A null text is empty."""
+    """(id, n_bytes, media): every whole text as a TIFF file. A null text is empty; ids may be null or repeated.
+
+    Files leave the worker by a few MB.
+    """
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                texts = part.column(1).to_pylist()
-                sizes = [len((t or "").encode()) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array([stored(payload(t)) for t in texts], pa.binary())], names=[id_col, "n_bytes", "media"])
+            start, sizes, files, held = 0, [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([b.column(0).slice(start, len(files)), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=[id_col, "n_bytes", "media"])
+
+            for i in range(b.num_rows):
+                text_ = b.column(1)[i].as_py()
+                sizes.append(len((text_ or "").encode()))
+                files.append(stored(payload(text_)))
+                held += sizes[-1] + len(files[-1])
+                if held > FLUSH_BYTES:
+                    yield flush()
+                    start, sizes, files, held = i + 1, [], [], 0
+            if files:
+                yield flush()
 
     return df.select(id_col, text).mapInArrow(shared.frugal(run), f"`{id_col}` {kind}, n_bytes long, media binary")
 
@@ -106,32 +113,54 @@ DIGEST_SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_c
 
 
 def digests(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """What the pages of stored documents hold: (id, n_bytes, media) to a row of digests and features for each file.
+    """A row of digests and features for each of the files (id, n_bytes, media), from the rows of ``pages``.
 
-    The pages of a file are walked as in ``pages`` and digested one after the other, so no page leaves its
-    worker. A file that can't be read fails the job: these files are this module's own.
+    A file's pages are digested as they come, one after the other; the first page begins the next file. A file
+    that can't be read fails the job: these files are this module's own.
     """
-    kind = df.schema[id_col].dataType.simpleString()
     names = [x.split()[0] for x in DIGEST_SCHEMA.split(", ")]
-
-    def digest(n: int, data: bytes) -> list:
-        sha, size, total, tail, bins, shapes, n_pages = hashlib.sha256(), 0, 0, b"", np.zeros(256, np.int64), [], 0
-        for p in tiff.walk(data):
-            sha.update(p.samples)
-            size += len(p.samples)
-            tail = p.samples[-ROW:]
-            bins += np.bincount(np.frombuffer(p.samples, np.uint8), minlength=256)
-            n_pages += 1
-            shapes = [p.compression, p.predictor, int(p.tiled)]
-        total = int(bins @ np.arange(256))
-        feature = f"{n_pages}x{ROW};form={'/'.join(map(str, shapes))};mean={total / size:.6f};levels={int((bins > 0).sum())};peak={int(bins.argmax())};hist={zlib.crc32(bins.astype('<i8').tobytes()):08x}"
-        return [n, size, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature, n_pages]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    about = df.select(id_col, "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    found = pages(about, id_col, "media", ("n_bytes", "media_bytes", "media_sha256"))
+
+    class File:
+        def __init__(self, row: dict):
+            self.row, self.sha, self.size, self.tail, self.bins, self.pages = row, hashlib.sha256(), 0, b"", np.zeros(256, np.int64), 0
+
+        def add(self, row: dict) -> None:
+            if row["error"] is not None:
+                raise ValueError(f"a stored document can't be read: {row['error']}")
+            self.sha.update(row["samples"])
+            self.size += len(row["samples"])
+            self.tail = row["samples"][-ROW:]
+            self.bins += np.bincount(np.frombuffer(row["samples"], np.uint8), minlength=256)
+            self.pages += 1
+            self.form = f"{row['compression']}/{row['predictor']}/{int(row['tiled'])}"
+
+        def digest(self) -> list:
+            mean = int(self.bins @ np.arange(256)) / self.size
+            feature = f"{self.pages}x{ROW};form={self.form};mean={mean:.6f};levels={int((self.bins > 0).sum())};peak={int(self.bins.argmax())};hist={zlib.crc32(self.bins.astype('<i8').tobytes()):08x}"
+            return [self.row["n_bytes"], self.size, self.sha.hexdigest(), zlib.crc32(self.tail), self.row["media_bytes"], self.row["media_sha256"], feature, self.pages]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-        for b in batches:
-            rows = [digest(n, m) for n, m in zip(b.column(1).to_pylist(), (x.as_py() for x in b.column(2)), strict=True)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=[id_col, *names])
+        now, kind = None, None
 
-    return df.select(id_col, "n_bytes", "media").mapInArrow(shared.frugal(run), f"`{id_col}` {kind}, {DIGEST_SCHEMA}")
+        def out(files: list[File]) -> pa.RecordBatch:
+            columns = list(zip(*[f.digest() for f in files], strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([f.row[id_col] for f in files], kind), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=[id_col, *names])
+
+        for b in batches:
+            kind, done = b.schema.field(id_col).type, []
+            for i in range(b.num_rows):
+                row = {n: b.column(k)[i].as_py() for k, n in enumerate(b.schema.names)}
+                if not row["page"]:
+                    done += [now] if now else []
+                    now = File(row)
+                now.add(row)
+            if done:
+                yield out(done)
+        if now:
+            yield out([now])
+
+    kind_ = df.schema[id_col].dataType.simpleString()
+    return found.mapInArrow(shared.frugal(run), f"`{id_col}` {kind_}, {DIGEST_SCHEMA}")
