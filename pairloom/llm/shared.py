@@ -9,11 +9,29 @@ from collections.abc import Callable, Iterator
 from functools import wraps
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairloom.plans.tables import dropped, folder, fresh, written  # noqa: F401
 
 
+#: A key that more than one in so many rows has is joined by broadcast: there are fewer than so many of them.
+HOT_KEYS = 1000
+
+
+def joined_by_key(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows with the columns of table, which has one row for each key; rows whose key it lacks get nulls.
+
+    weight: table's column that counts a key's rows. Rows of a frequent key stay where they are, so a key with a
+    third of all rows is no single task's. table is written: it is read several times.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = table.where(F.col(weight) * HOT_KEYS > total)
+    often = rows.join(F.broadcast(hot.drop(weight)), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.drop(weight), key, "left")
+    return often.unionByName(rest)
+
+
 #: Bytes of a batch of rows on its way to a worker, unless the session says something else.
 ARROW_BYTES = 4 << 20
 _BYTES, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"

@@ -102,9 +102,10 @@ def sets(texts: pa.Array):
         start = end
 
 
-def digests(value: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each set; 0 only for the empty set."""
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(value + _PLACES[0]), dtype=np.uint64)])
+def digests(value: np.ndarray, at: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit digest of each set, another for each seed; 0 only for the empty set."""
+    start = np.uint64((int(_PLACES[0]) + seed * _STEP) & ((1 << 64) - 1))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(value + start), dtype=np.uint64)])
     size = np.diff(at).astype(np.uint64)
     found = mix((total[at[1:]] - total[at[:-1]]) ^ (size * _PLACES[1]))
     return np.where(size > 0, np.maximum(found, 1), np.uint64(0))

@@ -145,8 +145,8 @@ def test_sets_equal_python(documents, edge_texts):
     assert len(set(seen.values())) == len(seen)
 
 
-@pytest.mark.parametrize("cost", [16, 1])
-def test_join_equals_brute_force(spark, documents, edges, edge_texts, cost):
+@pytest.mark.parametrize(("cost", "more"), [(16, {}), (1, {"bits": 14, "tile": 3})])
+def test_join_equals_brute_force(spark, documents, edges, edge_texts, cost, more):
     rng = random.Random(cost)
     words = [f"w{k}" for k in range(400)]
     made = []
@@ -157,13 +157,19 @@ def test_join_equals_brute_force(spark, documents, edges, edge_texts, cost):
         made.append((10_000 + i, " ".join(base[: len(base) - rng.choice([0, 0, 1, 3])] or base)))
     docs = made + [(r.doc_id, r.text) for r in documents.limit(60).collect()]
     df = spark.createDataFrame(rng.sample(docs, len(docs)), "doc_id long, text string").repartition(3)
-    assert near(df, cost=cost) == joined(docs)
-    if cost == 1:
-        assert near(edges) == joined([(None if i == "null" else i, t) for i, t in edge_texts])
+    # Few bits name sets twice, small tiles cut every shingle's members.
+    assert near(df, cost=cost, **more) == joined(docs)
 
 
-def test_join_of_an_empty_table(empty):
+def test_join_of_an_empty_table_and_clashing_columns(empty, edges, edge_texts):
     assert near(empty) == []
+    clash = edges.withColumn("node", F.lit(1)).withColumn("id", F.lit(2)).withColumn("component", F.lit("x")).withColumn("n", F.lit(3))
+    assert near(clash) == joined([(None if i == "null" else i, t) for i, t in edge_texts])
+
+
+def test_digests_that_never_tell_sets_apart(documents):
+    with pytest.raises(RuntimeError, match="digest"):
+        jaccard.join(documents, bits=2)
 
 
 def test_pipeline_stages(spark, documents, tmp_path):
