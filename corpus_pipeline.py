@@ -1,8 +1,8 @@
 """The corpus pipeline: quality rules, near duplicates, repeated passages, the mix of sources, and packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next one's docs. All but the last return the columns of documents. Null and repeated identifiers pass every stage
-as the operators say; an empty table passes as an empty table.
+next one's docs. All but the last return the columns of documents, and pass other columns on, whatever their
+names. Null and repeated identifiers pass every stage as said there; an empty table passes as an empty table.
 """
 
 from __future__ import annotations
@@ -21,7 +21,11 @@ WORDLESS = r"\A[\x09-\x0D\x20]*\z"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass every rule; the others go."""
+    """The documents that pass every rule; the others go.
+
+    Null, empty and very short texts go, by the rule on words. Each row is judged by its own text, so rows that
+    repeat stay or go together, and identifiers, null or repeated, have no say.
+    """
     return quality.kept(docs)
 
 
@@ -44,18 +48,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the passages that an earlier document holds; one of which nothing is left goes."""
+    """The documents without the passages that an earlier document holds; one of which nothing is left goes.
+
+    Earlier is of a smaller identifier: rows of one identifier, or of none, take nothing from each other, and rows
+    without one come last. A null text stays, an empty one goes. A character that a cut halves goes as a whole.
+    """
     cut = passages.without(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.where("text IS NULL OR trim(text) <> ''").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes; none is taken twice."""
+    """The documents that the mix takes; none is taken twice.
+
+    Null languages and sources are leaves of their own. Rows of one identifier and text are taken or left
+    together; rows without identifiers, or that repeat one, are told apart by their texts. Null and empty texts
+    cost nothing and go with the prefix that they lie in.
+    """
     return mixing.mixed(docs, PIPELINE_MIX).select(*docs.columns)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their sequences."""
+    """The pieces of all documents in their sequences: one of the end id alone for a null or empty text.
+
+    Rows that repeat, or share an identifier, are documents of their own.
+    """
     return packing.packed(packing.pieces(docs, tokens.vocabulary("word_bpe_49k.json"), END_ID))
 
 
@@ -67,7 +83,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packed_sequences", packed_sequences),
 ]
 
-#: SQL has no near-duplicate components, suffix dedup, tokenizer or packing: the stages are tested against brute force.
+#: SQL has neither the tokenizer nor the packing of the last stage, and no equal of a halved character's removal; the
+#: stages are tested against brute force, those with SQL of their own in the registered queries.
 ORACLE_SQL = None
 
 

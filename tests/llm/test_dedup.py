@@ -12,7 +12,7 @@ from llm_cases import SCHEMA, SF, rows_of
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pairloom.llm import jaccard, passages, shingles
+from pairloom.llm import jaccard, packing, passages, shingles, tokens
 from pairloom.llm.suffixes import CoverSorter
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -31,8 +31,8 @@ def test_sorter_orders_suffixes(seed):
     assert sorter.agree(got[:-1], got[1:]).tolist() == [a == b for a, b in zip(keys, keys[1:], strict=False)]
 
 
-def removed(docs, length=passages.LENGTH):
-    """(id, bytes, removed, spans, digest) by a table of all strings."""
+def kept_bytes(docs, length=passages.LENGTH):
+    """(id, bytes, removed or not for each byte) by a table of all strings."""
     key = lambda i: float("inf") if i is None else i
     least = {}
     for i, t in docs:
@@ -47,6 +47,14 @@ def removed(docs, length=passages.LENGTH):
         for k in range(len(raw) - length + 1):
             if least[raw[k : k + length]] < key(i):
                 gone[k : k + length] = True
+        out.append((i, raw, gone))
+    return out
+
+
+def removed(docs, length=passages.LENGTH):
+    """(id, bytes, removed, spans, digest)."""
+    out = []
+    for i, raw, gone in kept_bytes(docs, length):
         spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum()) if len(raw) else 0
         out.append((str(i), len(raw), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()))
     return sorted(out)
@@ -188,10 +196,11 @@ def test_pipeline_stages(spark, documents, tmp_path):
     want = {r for r, _, c in joined([(d.doc_id, d.text) for d in before.collect()]) if r == c}
     assert {str(d.doc_id) for d in after.collect()} == want
     before, after = kept["repeated_passages"]
-    left = {str(d.doc_id): hashlib.sha256(d.text.encode()).hexdigest() for d in after.collect()}
-    for i, size, gone, _, digest in removed([(d.doc_id, d.text) for d in before.collect()]):
-        if not gone:
-            assert left[i] == digest
+    left = {d.doc_id: d.text for d in after.collect()}
+    want = {i: np.frombuffer(raw, np.uint8)[~gone].tobytes().decode(errors="ignore") for i, raw, gone in kept_bytes([(d.doc_id, d.text) for d in before.collect()])}
+    assert left == {i: t for i, t in want.items() if t.strip(" ")}
+    cut = [i for i, t in left.items() if t != {d.doc_id: d.text for d in before.collect()}[i]]
+    assert cut and all(d.n_chars == len(d.text) for d in after.collect() if d.doc_id in cut)
     before, after = kept["source_mix"]
     assert {d.doc_id for d in after.collect()} <= {d.doc_id for d in before.collect()}
     before, after = kept["packed_sequences"]
@@ -211,6 +220,28 @@ def test_near_duplicates_of_missing_and_repeated_identifiers(spark):
     assert sorted(map(str, rest)) == sorted(map(str, [(1, b), (2, c), (3, d), (5, ""), (None, ""), (None, None)]))
 
 
+def test_a_halved_character_goes_as_a_whole(spark):
+    base = "".join(random.Random(3).choices("abcdefgh ", k=60))
+    # The second text shares the 60 letters and the first byte of the next character.
+    docs = spark.createDataFrame(rows_of([(1, base + "é" + "z" * 10), (2, base + "ê" + "y" * 10), (3, base), (4, None)]), SCHEMA)
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.repeated_passages(spark, docs, SF).collect()}
+    assert got == {1: (base + "é" + "z" * 10, 71), 2: ("y" * 10, 10), 4: (None, None)}
+
+
+def test_stages_keep_clashing_columns(spark, edges):
+    names = ["__id", "__key", "key", "bin", "part", "rank", "task", "batch", "rows", "quality", "mix", "component_id", "node"]
+    more = [(20 + i, " ".join(f"the word{i * 100 + k} of and to" for k in range(12))) for i in range(4)]
+    docs = spark.createDataFrame(rows_of(more, 3), SCHEMA).withColumn("lang", F.lit("en")).withColumn("source", F.lit("src1"))
+    for k, n in enumerate(names):
+        docs = docs.withColumn(n, F.lit(k))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF).collect()
+        assert out and all([r[n] for n in names] == list(range(len(names))) for r in out)
+    for name in ("bin", "rank", "part"):
+        own = docs.select(F.col("doc_id").alias(name), "text")
+        assert packing.packed(packing.pieces(own, tokens.vocabulary("word_bpe_49k.json"), 2, id_col=name), name).count() == 4
+
+
 def test_stages_of_edges_and_empty_tables(spark, edges, empty):
     more = spark.createDataFrame(rows_of([(20 + i, " ".join(f"the word{i * 100 + k} of and to" for k in range(12))) for i in range(4)], 3), edges.schema)
     for docs in (edges.unionByName(more), empty):
