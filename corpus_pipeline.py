@@ -89,8 +89,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each as a table in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents, each as a table in the shared folder; what a stage needed goes when it is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = shared.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with shared.scope(spark):
+            docs = shared.written(stage(spark, docs, sf_dir), f"pipeline-{name}", kept=True)
+        if last is not None:
+            shared.dropped(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.plans.tables import dropped, folder, fresh, written  # noqa: F401
+from pairloom.plans.tables import dropped, folder, fresh, scope, written  # noqa: F401
 
 
 #: A key that more than one in so many rows has is joined by broadcast: there are fewer than so many of them.
