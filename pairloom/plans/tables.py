@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The paths of the tables that the open scopes' operators have written.
 _scopes: list[list[str]] = []
+#: The folder of each local application that names none.
+_own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -19,8 +21,10 @@ def folder(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="pairloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        application = spark.sparkContext.applicationId
+        if application not in _own:
+            _own[application] = "file://" + tempfile.mkdtemp(prefix="pairloom-")
+        found = _own[application]
     return found.rstrip("/")
 
 

@@ -33,14 +33,10 @@ def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
 
 
-def test_scope_deletes_what_was_written_in_it(spark, tmp_path):
-    held = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        with tables.scope(spark):
-            labels = connected_components(spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long"), "a", "b")
-            out = tables.written(tables.written(labels, "inner"), "outer", kept=True)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", held) if held else spark.conf.unset("spark.checkpoint.dir")
-    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["outer"]
+def test_scope_deletes_what_was_written_in_it(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "folder", lambda _: f"file://{tmp_path}")
+    with tables.scope(spark):
+        labels = connected_components(spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long"), "a", "b")
+        out = tables.written(tables.written(labels, "inner"), "outer", kept=True)
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["outer"]
     assert sorted((r.node, r.component) for r in out.collect()) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
