@@ -175,9 +175,7 @@ def gradients(model: Model, rows: np.ndarray, at: np.ndarray, labels: np.ndarray
             c = np.nonzero(ok)[1]
             w = first[ok] + o
             go = (g[ok] * kept[w])[:, None].astype(f.dtype)
-            own = np.zeros((each, f.shape[1]), f.dtype)
-            np.add.at(own, c, go * model.table[rows[w]].sum(1))
-            g_f[o] = own.T
+            g_f[o] = (go * model.table[rows[w]].sum(1)).T @ (c[:, None] == np.arange(each)).astype(f.dtype)
             touched.append(rows[w].ravel())
             found.append(np.repeat(go * f[o].T[c], 3, axis=0))
         filters.append(g_f)
@@ -215,9 +213,14 @@ def _member(docs: list[np.ndarray], labels: np.ndarray, learn: np.ndarray, seed:
             kept = (rng.random(len(rows)) >= DROPPED).astype(np.float32)
             g = gradients(model, rows, at, labels[some], weight[some], kept)
             use = free[g["rows"]]
-            row, g_row = g["rows"][use], g["table"][use]
-            np.add.at(sums["table"], row, (g_row**2).mean(1))
-            np.add.at(model.table, row, -rate * g_row / np.sqrt(sums["table"][row])[:, None])
+            if use.any():
+                # Each row once, with the sums of what touches it.
+                o = np.flatnonzero(use)[np.argsort(g["rows"][use], kind="stable")]
+                row, g_row = g["rows"][o], g["table"][o]
+                first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                row = row[first]
+                sums["table"][row] += np.add.reduceat((g_row**2).mean(1), first)
+                model.table[row] -= (rate * np.add.reduceat(g_row, first) / np.sqrt(sums["table"][row])[:, None]).astype(np.float32)
             for k, f in enumerate(model.filters):
                 sums["filters"][k] += g["filters"][k] ** 2
                 f -= rate * g["filters"][k] / np.sqrt(sums["filters"][k])
