@@ -73,36 +73,43 @@ def pack_bits(data: bytes) -> bytes:
     return b"".join(out)
 
 
+#: Codes between two clearings at most, their widths in bits, and where each begins: the table's size alone decides.
+_RUN_CODES = 3837
+_WIDTHS = np.searchsorted([512, 1024, 2048], 259 + np.arange(_RUN_CODES + 1)) + 9
+_PLACES = np.concatenate([[0], np.cumsum(_WIDTHS)])
+
+
 def lzw(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, highest bit first, that widen one code early; the table is cleared when full."""
-    codes, widths = [_CLEAR], [9]
-    single = {bytes([i]): i for i in range(256)}
-    table, following, width, prefix = dict(single), 258, 9, b""
-    for i in range(len(data)):
-        longer = prefix + data[i : i + 1]
-        if longer in table:
-            prefix = longer
+    codes, cleared, at = [_CLEAR], [0], 1
+    table, following, code = {}, 258, -1
+    for byte in data:
+        if code < 0:
+            code = byte
+            continue
+        key = code << 8 | byte
+        longer = table.get(key)
+        if longer is not None:
+            code = longer
             continue
-        codes.append(table[prefix])
-        widths.append(width)
-        table[longer] = following
+        codes.append(code)
+        table[key] = following
         following += 1
+        code = byte
         if following == 4095:
+            cleared.append(len(codes))
             codes.append(_CLEAR)
-            widths.append(12)
-            table, following, width = dict(single), 258, 9
-        elif following + 1 > (1 << width):
-            width += 1
-        prefix = data[i : i + 1]
-    if prefix:
-        codes.append(table[prefix])
-        widths.append(width)
-        following += 1
-        if following + 1 > (1 << width) and width < 12:
-            width += 1
+            table, following = {}, 258
+    if code >= 0:
+        codes.append(code)
     codes.append(_END)
-    widths.append(width)
-    c, w = np.array(codes, np.int64), np.array(widths, np.int64)
+    c = np.array(codes, np.int64)
+    # A clearing is as wide as the codes before it; the first has 9 bits.
+    w = np.full(len(c), 9)
+    for at, to in zip(cleared, [*cleared[1:], len(c)], strict=True):
+        w[at + 1 : to] = _WIDTHS[: to - at - 1]
+        if at:
+            w[at] = 12
     ends = np.cumsum(w)
     bits = np.zeros(int(ends[-1]), np.uint8)
     for k in range(12):
@@ -113,38 +120,39 @@ def lzw(data: bytes) -> bytes:
 
 def unlzw(data: bytes, size: int) -> bytes:
     single = [bytes([i]) for i in range(256)] + [b"", b""]
-    out, table, width, held, bits, last, got = [], list(single), 9, 0, 0, b"", 0
-    for byte in data:
-        held = (held << 8) | byte
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == _CLEAR:
-            table, width, last = list(single), 9, b""
-            continue
-        if code == _END or got >= size:
-            break
-        if not last:
-            if code >= 256:
-                raise ValueError("LZW data starts with no byte")
-            last = table[code]
-        else:
-            if code < len(table):
-                found = table[code]
-            elif code == len(table):
-                found = last + last[:1]
+    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)]).astype(np.uint32)
+    out, got, at = [], 0, 0
+    while got < size:
+        # The codes up to the next clearing, as if it came as late as it may.
+        places = at + _PLACES[:-1]
+        places = places[places + _WIDTHS <= 8 * len(data)]
+        byte, width = places >> 3, _WIDTHS[: len(places)]
+        four = raw[byte] << 24 | raw[byte + 1] << 16 | raw[byte + 2] << 8 | raw[byte + 3]
+        codes = (four >> (32 - (places & 7) - width).astype(np.uint32)) & ((1 << width) - 1).astype(np.uint32)
+        stop = np.flatnonzero((codes == _CLEAR) | (codes == _END))
+        n = int(stop[0]) if len(stop) else len(codes)
+        table, last = list(single), b""
+        for code in codes[:n].tolist():
+            if last:
+                if code < len(table):
+                    found = table[code]
+                elif code == len(table):
+                    found = last + last[:1]
+                else:
+                    raise ValueError("LZW code beyond the table")
+                table.append(last + found[:1])
+                last = found
+            elif code < 256:
+                last = single[code]
             else:
-                raise ValueError("LZW code beyond the table")
-            table.append(last + found[:1])
-            last = found
-            n = len(table)
-            if n >= 511:
-                width = 10 if n < 1023 else 11 if n < 2047 else 12
-        out.append(last)
-        got += len(last)
+                raise ValueError("LZW data starts with no byte")
+            out.append(last)
+            got += len(last)
+            if got >= size:
+                break
+        if not len(stop) or codes[n] == _END:
+            break
+        at += int(_PLACES[n + 1])
     whole = b"".join(out)
     if len(whole) < size:
         raise ValueError("LZW data ends early")
