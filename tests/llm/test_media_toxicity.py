@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pairloom.llm import media, queries, tiff, toxicity
 
@@ -80,6 +81,16 @@ def test_digests_of_documents(documents, edges, empty):
     assert media.digests(media.stored_documents(empty)).collect() == []
 
 
+def test_media_and_scores_of_clashing_columns(edges):
+    clash = edges
+    for c in ("media", "page", "samples", "n_bytes", "error", "z", "held_out", "score"):
+        clash = clash.withColumn(c, F.lit("x"))
+    rows = lambda df: sorted(map(str, media.digests(media.stored_documents(df)).collect()))
+    assert rows(clash) == rows(edges)
+    model = toxicity.fit([], np.zeros(0, np.int64))
+    assert toxicity.scored(clash, model).columns == ["doc_id", "held_out", "score", "predicted"] and toxicity.scored(clash, model).count() == edges.count()
+
+
 def test_long_documents_have_several_pages(spark):
     df = spark.createDataFrame([(1, "word " * 60_000)], "doc_id long, text string")
     (row,) = media.digests(media.stored_documents(df)).collect()

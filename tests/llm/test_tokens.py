@@ -67,6 +67,14 @@ def test_counts_of_edges(edges, edge_texts, empty):
     assert token_counts.token_counts(empty, path).collect() == []
 
 
+def test_columns_that_clash_are_not_read(edges, edge_texts):
+    clash = edges.withColumn("n_bytes", F.lit("x")).withColumn("n_tokens", F.lit("y")).withColumn("start", F.lit("z")).withColumn("length", F.lit("w"))
+    path = tokens.vocabulary(NAMES[0])
+    count = lambda df: sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in token_counts.token_counts(df, path).collect())
+    assert count(clash) == count(edges)
+    assert packing.packed(packing.pieces(clash, tokens.vocabulary(NAMES[1]), 2)).count() >= len(edge_texts)
+
+
 def shard_rows(spark, df, n=3):
     shards = sstable.write_shards(df, tokens.vocabulary(NAMES[0]), 2, shards=n)
     return shards, sstable.read_shards(spark, shards).collect()
