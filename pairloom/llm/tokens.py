@@ -67,6 +67,9 @@ class PieceEncoder:
         probe = self.tokenizer.encode("Ab", add_special_tokens=False).ids
         self.lower = probe == self.tokenizer.encode("ab", add_special_tokens=False).ids
         self.words: dict[str, bytes] = {}
+        # Plain pieces pass the library's search for added tokens by, so none may read like one.
+        if held := [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if PLAIN.search(t.content) and PLAIN.fullmatch(t.content.strip())]:
+            raise ValueError(f"{path}: added tokens that read like plain text: {held}")
 
     def _whole(self, pieces: list[str]) -> list[bytes]:
         """By the library's whole path: normalizer, pre-tokenizer and model."""

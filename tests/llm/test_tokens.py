@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -231,3 +232,12 @@ def test_padding_is_little(spark, name):
         assert at <= packing.LENGTH
     assert sorted(sequences) == list(range(len(sequences)))
     assert len(sequences) <= 1.03 * -(-sum(lengths) // packing.LENGTH) + 1
+
+
+def test_added_tokens_that_read_like_plain_text_are_refused(tmp_path):
+    found = json.loads(open(tokens.vocabulary(NAMES[0])).read())
+    found["added_tokens"].append({"id": 50257, "content": "hello", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False})
+    path = tmp_path / "vocabulary.json"
+    path.write_text(json.dumps(found))
+    with pytest.raises(ValueError, match="hello"):
+        tokens.encoder(str(path))
