@@ -64,7 +64,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     together; rows without identifiers, or that repeat one, are told apart by their texts. Null and empty texts
     cost nothing and go with the prefix that they lie in.
     """
-    return mixing.mixed(docs, PIPELINE_MIX).select(*docs.columns)
+    own = docs.withColumnRenamed("mix", "__own_mix")
+    return mixing.mixed(own, PIPELINE_MIX).drop("mix").withColumnRenamed("__own_mix", "mix").select(*docs.columns)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

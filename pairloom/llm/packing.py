@@ -268,7 +268,7 @@ def packed(cut: DataFrame, id_col: str = "doc_id") -> DataFrame:
     pieces takes more tasks.
     """
     spark = cut.sparkSession
-    table = shared.written(cut, "pack-pieces")
+    table = shared.written(cut.withColumnRenamed(id_col, "__id"), "pack-pieces")
     rest = table.where(F.col("length") < LENGTH)
     counts = np.zeros(LENGTH - 1, np.int64)
     for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect():
@@ -281,11 +281,11 @@ def packed(cut: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     # A row for each length below LENGTH: bounded, so broadcast.
     known = spark.createDataFrame(plan.lengths(), "length long, bin int, parts int")
-    binned = rest.join(F.broadcast(known), "length").withColumn("part", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.col("parts")).cast("int"))
+    binned = rest.join(F.broadcast(known), "length").withColumn("part", F.pmod(F.xxhash64("__id", "start", "ids_crc32"), F.col("parts")).cast("int"))
     before = W.partitionBy("bin").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = binned.groupBy("bin", "part").agg(F.count("*").alias("n")).select("bin", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inner = W.partitionBy("bin", "part").orderBy(F.desc("length"), id_col, "start", "ids_crc32")
-    columns = [id_col, "start", "length", "ids_crc32", "doc_tokens"]
+    inner = W.partitionBy("bin", "part").orderBy(F.desc("length"), "__id", "start", "ids_crc32")
+    columns = ["__id", "start", "length", "ids_crc32", "doc_tokens"]
     ranked = binned.withColumn("__rank", F.row_number().over(inner)).join(starts, ["bin", "part"])
     ranked = ranked.select(F.col("bin").alias("__bin"), (F.col("__rank") + F.col("before") - 1).alias("__rank"), *columns)
     dealing = plan.dealing
@@ -310,4 +310,4 @@ def packed(cut: DataFrame, id_col: str = "doc_id") -> DataFrame:
     tasks = whole.groupBy("task").agg((F.max("serial") + 1).alias("n"))
     first = tasks.select("task", F.coalesce(F.sum("n").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"))
     numbered = whole.join(first, "task").withColumn("sequence_id", F.col("first") + F.col("serial") + plan.sequences).withColumn("offset", F.lit(0).cast("long"))
-    return placed.unionByName(numbered.select(*columns))
+    return placed.unionByName(numbered.select(*columns)).withColumnRenamed("__id", id_col)

@@ -457,7 +457,8 @@ def digests(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
 
 
 def without(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with the repeated passages cut out of its texts; a character that a cut halves goes as a whole. A null text stays null."""
+    """df with the repeated passages cut out of its texts; a character that a cut halves goes as a whole. A null text stays null, other columns pass through."""
+    df = df.withColumnRenamed("removed_spans", "__own_spans")
     found = removed(df, id_col, text)
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,4 +468,4 @@ def without(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
             columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(b.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
 
-    return found.mapInArrow(shared.frugal(run), df.schema)
+    return found.mapInArrow(shared.frugal(run), df.schema).withColumnRenamed("__own_spans", "removed_spans")

@@ -229,7 +229,7 @@ def test_a_halved_character_goes_as_a_whole(spark):
 
 
 def test_stages_keep_clashing_columns(spark, edges):
-    names = ["__id", "__key", "key", "bin", "part", "rank", "task", "batch", "rows", "quality", "mix", "component_id", "node"]
+    names = ["__id", "__key", "key", "bin", "part", "rank", "task", "batch", "rows", "quality", "mix", "removed_spans", "component_id", "node"]
     more = [(20 + i, " ".join(f"the word{i * 100 + k} of and to" for k in range(12))) for i in range(4)]
     docs = spark.createDataFrame(rows_of(more, 3), SCHEMA).withColumn("lang", F.lit("en")).withColumn("source", F.lit("src1"))
     for k, n in enumerate(names):
