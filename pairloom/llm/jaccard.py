@@ -6,9 +6,10 @@ repeats little first, then by hash. Two nodes of similarity t share at least l o
 A node whose shortest prefix would meet many candidates takes a longer one, and is verified only against nodes
 that share correspondingly many of the shingles in it.
 
-Links are asked for, not pairs. So each node is first linked with a few hubs that share prefix shingles with
+Components are asked for, not pairs. So each node is first linked with a few hubs that share prefix shingles with
 it; then, only pairs across the components found so far are candidates. Near copies by the thousand thus
-cost a few verifications each, and no link between different components is lost.
+cost a few verifications each, and no link between different components is lost. Where all links are asked for
+(``links``, or their number in ``join``), every pair is a candidate, whatever its components.
 """
 
 from __future__ import annotations
@@ -468,19 +469,8 @@ class Join:
         return met.repartition(self.parts, "a").sortWithinPartitions("a").mapInArrow(shared.frugal(counted), "a long, b long")
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", cost: int = COST, bits: int = 64, tile: int = TILE) -> DataFrame:
-    """(id, n_shingles, component_id, n_links) of every row of df.
-
-    Sets are of distinct 5-word shingles; two documents link where the intersection is at least 80 hundredths
-    of the union. component_id is the least identifier that links reach, the document's own included. Documents
-    without words or text have the empty set and link with nothing. Documents with one set are linked, be they
-    copies or repeated rows; a null identifier never names a component, so one is null where no member has an
-    identifier. n_links counts the links by which a document's set was tied to others, at least one for each set
-    of a component of several sets; copies of a set aren't counted. An empty table gives no rows; other columns
-    are not read, whatever their names.
-
-    bits: of the digest that names a set; if it names two sets, another one is taken.
-    """
+def _nodes(df: DataFrame, id_col: str, text: str, cost: int, bits: int) -> tuple[Join, DataFrame, DataFrame, DataFrame]:
+    """The join with its rows by node, its nodes (node, rep, n, copies) and the postings of their prefixes."""
     for seed in range(SEEDS):
         j = Join(df, id_col, text, cost, seed, bits)
         found = j.nodes_and_counts()
@@ -494,17 +484,64 @@ def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", cost: int =
     else:
         raise RuntimeError("every digest is that of two sets")
     j.parts = max(j.parts, -(-(nodes.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0) // PER_TASK))
-    lists = j.lists(j.prefixes(j.hot(found.where("kind = 1"))))
-    links = j.verified(j.hubs(lists), nodes)
-    labels = shared.written(connected_components(links, "a", "b"), "join-labels")
-    every = links.unionByName(j.verified(j.across(lists, labels, tile), nodes))
-    named = connected_components(every, "a", "b")
-    count = every.select(F.col("a").alias("node")).unionByName(every.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = nodes.select("node", "rep", "copies").join(named, "node", "left").withColumn("component", F.coalesce("component", "node")).join(count, "node", "left")
+    return j, docs, nodes, j.lists(j.prefixes(j.hot(found.where("kind = 1"))))
+
+
+def _all_links(j: Join, nodes: DataFrame, lists: DataFrame, tile: int) -> DataFrame:
+    """(a, b) of every two nodes that link, once."""
+    apart = nodes.select("node", F.col("node").alias("component"))
+    return shared.written(j.verified(j.across(lists, apart, tile), nodes).distinct(), "join-every")
+
+
+def _named(j: Join, docs: DataFrame, nodes: DataFrame, every: DataFrame, more: dict) -> DataFrame:
+    """(id, node, n_shingles, component_id) of each row, with the columns of ``more``, each a table's (node, value), 0 where it has none."""
+    known = nodes.select("node", "rep", "copies").join(connected_components(every, "a", "b"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    for name, table in more.items():
+        known = known.join(table.select("node", F.col("value").alias(name)), "node", "left").withColumn(name, F.coalesce(name, F.lit(0)))
     known = shared.written(known, "join-known")
     best = shared.written(known.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("members")), "join-best")
     least = shared.joined_by_key(known, best, "component", "members")
-    least = shared.written(least.select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies"), "join-least")
-    out = shared.joined_by_key(docs.select("id", "node", F.col("n").alias("n_shingles")), least, "node", "copies")
+    least = shared.written(least.select("node", "component_id", *more, "copies", F.col("copies").alias("rows")), "join-least")
+    return shared.joined_by_key(docs.select("id", "node", F.col("n").alias("n_shingles")), least, "node", "rows")
+
+
+def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", cost: int = COST, bits: int = 64, tile: int = TILE, count_links: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id) of every row of df, and n_links if ``count_links``.
+
+    Sets are of distinct 5-word shingles; two documents link where the intersection is at least 80 hundredths
+    of the union. component_id is the least identifier that links reach, the document's own included. Documents
+    without words or text have the empty set and link with nothing. Documents with one set are linked, be they
+    copies or repeated rows; a null identifier never names a component, so one is null where no member has an
+    identifier. An empty table gives no rows; other columns are not read, whatever their names.
+
+    count_links: n_links is how many other rows a row links with, copies of its own set among them. Each two
+    different sets that may be similar are verified for it, within components too.
+    bits: of the digest that names a set; if it names two sets, another one is taken.
+    """
+    j, docs, nodes, lists = _nodes(df, id_col, text, cost, bits)
+    more = {}
+    if count_links:
+        every = _all_links(j, nodes, lists, tile)
+        both = every.unionByName(every.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # A linked set counts as often as rows have it.
+        linked = both.join(nodes.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("value"))
+        more = {"others": linked}
+    else:
+        links = j.verified(j.hubs(lists), nodes)
+        labels = shared.written(connected_components(links, "a", "b"), "join-labels")
+        every = links.unionByName(j.verified(j.across(lists, labels, tile), nodes))
+    out = _named(j, docs, nodes, every, more)
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").cast(j.kind).alias(id_col), "n_shingles", own.cast(j.kind).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    n_links = [(F.coalesce("others", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links")] if count_links else []
+    return out.select(F.col("id").cast(j.kind).alias(id_col), "n_shingles", own.cast(j.kind).alias("component_id"), *n_links)
+
+
+def links(df: DataFrame, id_col: str = "doc_id", text: str = "text", cost: int = COST, bits: int = 64, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """Every link: pairs (a, b) of class representatives, and membership (id, class, n_shingles) of every row.
+
+    A class is the rows of one set, named by a number; rows of one class link with each other, and pairs tell each two
+    different classes that link, once. Rows without words have no class.
+    """
+    j, docs, nodes, lists = _nodes(df, id_col, text, cost, bits)
+    members = docs.select(F.col("id").cast(j.kind).alias(id_col), F.when(F.col("n") > 0, F.col("node")).alias("class"), F.col("n").alias("n_shingles"))
+    return _all_links(j, nodes, lists, tile), members

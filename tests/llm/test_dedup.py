@@ -169,6 +169,31 @@ def test_join_equals_brute_force(spark, documents, edges, edge_texts, cost, more
     assert near(df, cost=cost, **more) == joined(docs)
 
 
+@pytest.mark.parametrize("more", [{}, {"cost": 1, "bits": 14, "tile": 3}])
+def test_every_link_is_counted(spark, edges, edge_texts, more):
+    rng = random.Random(25)
+    base = [f"w{k}" for k in range(60)]
+    docs = [(None if i == "null" else i, t) for i, t in edge_texts]
+    # One group of near copies and of copies, all in one component, where two hubs tie everything.
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(3)}"
+        docs.append((20_000 + i, " ".join(words)))
+    sets = [sets_of(t) for _, t in docs]
+    linked = [[j for j, b in enumerate(sets) if j != i and a and 100 * len(a & b) >= 80 * len(a | b)] for i, a in enumerate(sets)]
+    assert sum(map(len, linked)) > 1000
+    df = spark.createDataFrame(rng.sample(docs, len(docs)), "doc_id long, text string").repartition(3)
+    found = jaccard.join(df, count_links=True, **more).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.n_links) for r in found) == sorted((str(d), len(sets[i]), len(linked[i])) for i, (d, _) in enumerate(docs))
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == joined(docs)
+    pairs, members = jaccard.links(df, **more)
+    of = {r["class"]: r.n_shingles for r in members.collect()}
+    pairs = [(r.a, r.b) for r in pairs.collect()]
+    assert len(pairs) == len(set(pairs)) == len({frozenset((sets[i], sets[j])) for i in range(len(docs)) for j in linked[i] if sets[i] != sets[j]})
+    assert None in of and {x for p in pairs for x in p} < set(of)
+
+
 def test_join_of_an_empty_table_and_clashing_columns(empty, edges, edge_texts):
     assert near(empty) == []
     clash = edges.withColumn("node", F.lit(1)).withColumn("id", F.lit(2)).withColumn("component", F.lit("x")).withColumn("n", F.lit(3))
