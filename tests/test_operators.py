@@ -293,3 +293,27 @@ def test_io(spark, tmp_path):
     assert io.range_signature(ids, width=10).first()[0] == hashlib.sha256((digest(-1) + digest(9) + digest(10)).encode()).hexdigest()
     assert io.ordered_signature(ids).first()[0] == hashlib.sha256(b"-1\n9\n10\n").hexdigest()
     assert tuple(io.signature(ids).first())[:4] == (3, 18, -1, 10)
+
+
+def _repeated_features(spark):
+    rng = random.Random(16)
+    rows = [(i, i, int(rng.random() < 0.3 + 0.4 * (i % 5 == 0)), "ab"[i % 2], float(i % 40), float(i % 7)) for i in range(400)]
+    f = spark.createDataFrame(rows, "id1 long, id2 long, target int, category string, x double, y double")
+    return f.unionByName(f).unionByName(f.where("id1 % 3 = 0")).cache()
+
+
+def _seen(monkeypatch):
+    """The rows that the fit gets."""
+    fit, seen = scoring.Pipeline.fit, []
+    monkeypatch.setattr(scoring.Pipeline, "fit", lambda self, df, *a: seen.append(df) or fit(self, df, *a))
+    return seen
+
+
+def test_trees_see_equal_rows_once_with_their_number(spark, monkeypatch):
+    f, seen = _repeated_features(spark), _seen(monkeypatch)
+    model = scoring.fit_trees(f, ["x", "y"], rounds=4, depth=3)
+    assert seen[0].count() == f.select("target", "category", "x", "y").distinct().count() < f.count()
+    assert seen[0].agg(F.sum("weight")).first()[0] == f.count()
+    plain = scoring.Pipeline(stages=[*model.stages[:2], scoring.GBTClassifier(labelCol="target", maxIter=4, maxDepth=3, stepSize=0.1, maxBins=64, seed=42)]).fit(f)
+    both = zip(scoring.predicted(model, f).orderBy("id1").collect(), scoring.predicted(plain, f).orderBy("id1").collect(), strict=True)
+    assert all(a.prediction == pytest.approx(b.prediction, abs=1e-9) for a, b in both)
