@@ -27,13 +27,17 @@ def hard_errors(scored: DataFrame, records: DataFrame, top: int = 100, score: st
     return both
 
 
-def baseline_report(features: DataFrame) -> DataFrame:
-    """experiment, category, pairs, positives, positive_rate, average_precision of each heuristic."""
+def baseline_report(features: DataFrame, weight: str | None = None) -> DataFrame:
+    """experiment, category, pairs, positives, positive_rate, average_precision of each heuristic.
+
+    weight: the column that tells how many pairs a row stands for.
+    """
     known = heuristics()
-    features = tables.written(features.select("category", "target", *[c.alias(n) for n, c in known.items()]), "heuristics")
+    more = [weight] if weight else []
+    features = tables.written(features.select("category", "target", *more, *[c.alias(n) for n, c in known.items()]), "heuristics")
     out = None
     for name in known:
-        one = metrics.average_precision_by(features.select("category", "target", F.col(name).alias("score")), "category")
+        one = metrics.average_precision_by(features.select("category", "target", *more, F.col(name).alias("score")), "category", weight=weight)
         one = one.select(F.lit(name).alias("experiment"), *one.columns)
         out = one if out is None else out.unionByName(one)
     return out

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import checks, features, items, joint, metrics, reports, sampling, scoring, split
+from pairloom.operators import blocks, checks, features, items, joint, metrics, reports, sampling, scoring, split
+from pairloom.operators.components import connected_components
 from pairloom.sources import io
 from pairloom.streaming import pairs as streaming
 
@@ -317,3 +318,54 @@ def test_trees_see_equal_rows_once_with_their_number(spark, monkeypatch):
     plain = scoring.Pipeline(stages=[*model.stages[:2], scoring.GBTClassifier(labelCol="target", maxIter=4, maxDepth=3, stepSize=0.1, maxBins=64, seed=42)]).fit(f)
     both = zip(scoring.predicted(model, f).orderBy("id1").collect(), scoring.predicted(plain, f).orderBy("id1").collect(), strict=True)
     assert all(a.prediction == pytest.approx(b.prediction, abs=1e-9) for a, b in both)
+
+
+#: Parts with copies, a null label, a null key and a block of one.
+BLOCKED = [(i, "tu"[i % 2], f"n{i % 3}", f"b{i * i % 4}" if i % 7 else None, i % 3 * 10) for i in range(40)] + [(50, None, "n0", "b1", 1), (51, "t", None, "b1", 1), (52, "z", "n9", "b1", 1), (53, "y", "n9", None, 1), (54, "y", "n9", None, 1)]
+
+
+@pytest.fixture
+def blocked(spark):
+    items = spark.createDataFrame(BLOCKED, "id long, category string, name string, brand string, size int").repartition(3).cache()
+    a, b = items.alias("a"), items.alias("b")
+    same = (F.col("a.category") == F.col("b.category")) & (F.col("a.name") == F.col("b.name")) & (F.col("a.id") < F.col("b.id"))
+    target = (F.col("a.brand") == F.col("b.brand")).cast("double").alias("target")
+    return items, a.join(b, same).select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), target, "a.category").cache()
+
+
+def _sorted(df):
+    return sorted(map(str, (r.asDict().items() for r in df.collect())))
+
+
+def test_folded_components_equal_those_of_all_pairs(blocked):  # component_labels_blocks
+    parts, pairs = blocked
+    folded = blocks.folded_pairs(parts, ["category", "name"], "brand")
+    assert folded.count() < pairs.count() == folded.agg(F.sum("pairs")).first()[0]
+    assert _sorted(connected_components(folded, "id1", "id2")) == _sorted(connected_components(pairs, "id1", "id2"))
+
+
+def test_folded_split_equals_that_of_all_pairs(blocked):  # component_rollup, val_component_selection, split_stats, split_checks
+    parts, pairs = blocked
+    folded = blocks.folded_pairs(parts, ["category", "name"], "brand")
+    assert _sorted(split.components_of(split.component_table(folded))) == _sorted(split.components_of(split.component_table(pairs)))
+    a, b = split.split_pairs(folded, 0.4), split.split_pairs(pairs, 0.4)
+    assert _sorted(split.split_stats(a)) == _sorted(split.split_stats(b))
+    assert [checks.pair_ids(x).count() for x in split.train_and_val(a)] == [checks.pair_ids(x).count() for x in split.train_and_val(b)]
+
+
+def test_attribute_counts_of_blocks_equal_those_of_all_pairs(spark, blocked):  # attribute_stats, csv_statistics
+    parts, pairs = blocked
+    records = parts.select("id", "category", F.when(F.col("id") % 5 == 0, F.create_map(F.lit("size"), F.lit("1"))).otherwise(F.create_map(F.lit("brand"), F.lit("x"), F.lit("size"), F.lit("1"))).alias("attrs"), "name")
+    assert _sorted(blocks.attribute_stats(records, ["category", "name"])) == _sorted(features.attribute_stats(pairs, records.drop("name")))
+
+
+def test_baselines_of_classes_equal_those_of_all_pairs(blocked):  # baseline_report, experiment_summary
+    parts, pairs = blocked
+    cards = parts.select("id", F.concat_ws(" ", "name", "brand", F.col("size").cast("string")).alias("name"), F.lit("{}").alias("attributes"), "category")
+    records = items.item_records(cards, normalize=False)
+    classes = blocks.class_pairs(parts, ["category", "name"], ["brand", "size"], "brand").drop("category", "name")
+    assert classes.count() < pairs.count() == classes.agg(F.sum("weight")).first()[0]
+    got = reports.baseline_report(features.pair_features(classes, records, keep=("weight",)), "weight")
+    want = reports.baseline_report(features.pair_features(pairs, records))
+    one = lambda df: sorted((r.experiment, r.category, r.pairs, r.positives, r.positive_rate and round(r.positive_rate, 9), r.average_precision and round(r.average_precision, 9)) for r in df.collect())
+    assert one(got) == one(want)
