@@ -369,3 +369,16 @@ def test_baselines_of_classes_equal_those_of_all_pairs(blocked):  # baseline_rep
     want = reports.baseline_report(features.pair_features(pairs, records))
     one = lambda df: sorted((r.experiment, r.category, r.pairs, r.positives, r.positive_rate and round(r.positive_rate, 9), r.average_precision and round(r.average_precision, 9)) for r in df.collect())
     assert one(got) == one(want)
+
+
+def test_counted_summary_equals_that_of_the_drawn_pairs(spark, blocked):  # joint_summary
+    parts, pairs = blocked
+    score = pairs.select("id1", "id2", ((F.col("id1") * 31 + F.col("id2") * 17) % 997).cast("double").alias("cross_encoder_score"))
+    soft = pairs.withColumn("target", (F.col("id1") * 7 + F.col("id2")) % 11 / 10.0)
+    val = spark.createDataFrame([(3,), (8,)], "id long")
+    able = joint.without_items(joint.confident(soft), val)
+    want = joint.joint_summary(joint.joint_pairs(pairs, soft, val, 20, 15, joint.hard_negatives(pairs, score, 30), 4))
+    counts = able.groupBy("category").agg(F.count_if(F.col("target") >= 0.7).alias("high"), F.count_if(F.col("target") <= 0.3).alias("low"))
+    folded = blocks.folded_pairs(parts, ["category", "name"], "brand").groupBy("category")
+    human = folded.agg(F.sum("pairs").alias("pairs"), F.sum("positives").alias("positives"), F.sum(F.col("known") - F.coalesce("positives", F.lit(0))).alias("negatives"))
+    assert _sorted(joint.counted_summary(human, counts, 20, 15, 30, 4)) == _sorted(want)
