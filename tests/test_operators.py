@@ -382,3 +382,10 @@ def test_counted_summary_equals_that_of_the_drawn_pairs(spark, blocked):  # join
     folded = blocks.folded_pairs(parts, ["category", "name"], "brand").groupBy("category")
     human = folded.agg(F.sum("pairs").alias("pairs"), F.sum("positives").alias("positives"), F.sum(F.col("known") - F.coalesce("positives", F.lit(0))).alias("negatives"))
     assert _sorted(joint.counted_summary(human, counts, 20, 15, 30, 4)) == _sorted(want)
+
+
+def test_joined_pairs_of_blocks_are_all_pairs_with_their_items(blocked):  # confident_antijoin
+    parts, pairs = blocked
+    got = blocks.joined_pairs(parts, ["category", "name"])
+    assert _sorted(got.select("id1", "id2", (F.col("l.brand") == F.col("r.brand")).cast("double").alias("target"), "category")) == _sorted(pairs)
+    assert got.where("l.id <> id1 OR r.id <> id2").count() == 0
