@@ -399,3 +399,12 @@ def test_sides_of_folded_pairs_are_those_of_all_pairs(blocked):  # split_pairs
     assert _sorted(folded) == _sorted(split.sides(want))
     both = pairs.join(folded.select(F.col("id").alias("id1"), "is_val"), "id1")
     assert _sorted(both.select("id1", "id2", "is_val")) == _sorted(want.select("id1", "id2", "is_val"))
+
+
+def test_hardest_pairs_are_the_hard_negatives(spark, blocked):  # hard_negatives_topk
+    pairs = blocked[1]
+    for score in (F.col("id1") * 31 + F.col("id2") * 17) % 5 / 3, (F.col("id1") * 31 + F.col("id2") * 17) % 97 / 9700, F.when(F.col("id1") > 9, F.lit(-1.5)), F.lit(None).cast("double"):
+        scored = pairs.withColumn("cross_encoder_score", score)
+        for k in (1, 7, 30, 4000):
+            want = joint.hard_negatives(pairs, scored.select("id1", "id2", "cross_encoder_score"), k)
+            assert _sorted(joint.hardest(scored, k)) == _sorted(want)
