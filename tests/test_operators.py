@@ -408,3 +408,13 @@ def test_hardest_pairs_are_the_hard_negatives(spark, blocked):  # hard_negatives
         for k in (1, 7, 30, 4000):
             want = joint.hard_negatives(pairs, scored.select("id1", "id2", "cross_encoder_score"), k)
             assert _sorted(joint.hardest(scored, k)) == _sorted(want)
+
+
+def test_counted_human_rows_equal_those_of_mining(spark, blocked):  # mined_summary
+    parts, pairs = blocked
+    soft = pairs.withColumn("target", (F.col("id1") * 7 + F.col("id2")) % 11 / 10.0)
+    texts = parts.select("id", F.coalesce("brand", F.lit("-")).alias("text"))
+    mined = joint.mined_pairs(pairs, soft, spark.createDataFrame([(3,)], "id long"), texts, length(), 5, 5, 30, 2)
+    folded = blocks.folded_pairs(parts, ["category", "name"], "brand").groupBy("category")
+    human = folded.agg(F.sum("pairs").alias("pairs"), F.sum("positives").alias("positives"), F.sum(F.col("known") - F.coalesce("positives", F.lit(0))).alias("negatives"))
+    assert _sorted(joint.counted_human(human, 30, 2)) == _sorted(joint.joint_summary(mined.where("origin in ('hard', 'human')")))
