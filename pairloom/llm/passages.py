@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import batches, shared
 from .batches import pack_array, unpack_array
-from .suffixes import CoverSorter
+from .suffixes import CoverSorter, big, words_of
 
 LENGTH, K = 50, 20
 WIDE = LENGTH - K + 1
@@ -89,8 +89,9 @@ def _segment(x: np.ndarray) -> tuple[np.ndarray, ...]:
     edge = np.zeros(WIDE - 1, np.uint64)
     anchors = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), WIDE, np.maximum) == h)
     # The leftmost anchor at or after a window's start whose hash is the window's least.
-    starts = np.arange(len(least))
-    q = np.searchsorted(anchors, starts)
+    before = np.zeros(len(h) + 1, np.int64)
+    before[anchors + 1] = 1
+    q = np.cumsum(before)[: len(least)]
     wrong = np.flatnonzero(h[anchors[q]] != least)
     while len(wrong):
         q[wrong] += 1
@@ -149,9 +150,9 @@ def _order(ids: pa.Array) -> np.ndarray:
 def _words(x: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
     """The strings x[first : first + size] of at most WIDEST bytes, as 8-byte words one after the other; bytes beyond them are 0."""
     padded = np.concatenate([x, np.zeros(WIDEST + 8, np.uint8)])
-    view = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
+    view = words_of(padded)
     for k in range(0, WIDEST, 8):
-        word = np.ascontiguousarray(view[first + np.minimum(k, size)]).view(">u8").ravel().astype(np.uint64)
+        word = big(view[first + np.minimum(k, size)])
         left = np.clip(size - k, 0, 8)
         word = np.where(left > 0, word >> (np.uint64(8) * (8 - np.maximum(left, 1)).astype(np.uint64)), np.uint64(0))
         yield word

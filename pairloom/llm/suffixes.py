@@ -19,6 +19,15 @@ BLOCK = 1 << 18
 _PAD = 80
 
 
+def words_of(padded: np.ndarray) -> np.ndarray:
+    """The 8 bytes at each place of uint8s as one number, by unaligned view; ``big`` makes what is picked of it sort as its bytes."""
+    return np.ndarray(len(padded) - 7, "<u8", buffer=padded, strides=(1,))
+
+
+def big(words: np.ndarray) -> np.ndarray:
+    return words.astype(np.uint64, copy=False).byteswap()
+
+
 class CoverSorter:
     """Sorts suffixes of ``text`` (bytes as uint8) by at least their first ``depth`` bytes.
 
@@ -29,8 +38,7 @@ class CoverSorter:
         self.depth = depth
         self.text = np.concatenate([text, np.zeros(_PAD + 8 * (-(-depth // 8)), np.uint8)])
         self.n = len(text)
-        # Big-endian 8-byte words at any place, by unaligned view.
-        self.words = np.lib.stride_tricks.as_strided(self.text, (len(self.text) - 7, 8), (1, 1))
+        self.words = words_of(self.text)
         sample = np.concatenate([np.arange(c, self.n + PERIOD, PERIOD) for c in COVER])
         sample.sort()
         self.rank = np.zeros(self.n + 2 * PERIOD, np.int64)
@@ -38,7 +46,7 @@ class CoverSorter:
 
     def word(self, at: np.ndarray, k: int = 0) -> np.ndarray:
         """The k-th 8-byte word of the suffixes at these places, as numbers that sort as their bytes."""
-        return np.ascontiguousarray(self.words[at + 8 * k]).view(">u8").ravel().astype(np.uint64)
+        return big(self.words[at + 8 * k])
 
     def _ranked(self, at: np.ndarray) -> np.ndarray:
         """Ranks of suffixes by their first ``depth`` bytes and up to 7 more; equal ones share a rank."""
@@ -50,7 +58,10 @@ class CoverSorter:
             if not len(todo):
                 break
             key, own = self.word(at[todo], k), group[todo]
-            o = np.lexsort((key, own))
+            # Which of equal ones comes first doesn't matter; what is left is in the order of its groups.
+            o = np.argsort(key)
+            if k:
+                o = o[np.argsort(own[o], kind="stable")]
             t, g, w = todo[o], own[o], key[o]
             head = np.concatenate([[True], g[1:] != g[:-1]])
             new = head | np.concatenate([[True], w[1:] != w[:-1]])
@@ -76,7 +87,7 @@ class CoverSorter:
             edges.append(max(edges[-1] + 1, int(np.searchsorted(total, held + limit, "right"))))
         for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
             block[x:y] = b
-        own = block[lead]
+        own = block[lead].astype(np.uint16)  # at most one block for each leading pair
         order = np.argsort(own, kind="stable")
         cuts = np.searchsorted(own[order], np.arange(len(edges)))
         for x, y in zip(cuts, cuts[1:], strict=False):
@@ -86,7 +97,7 @@ class CoverSorter:
     def sorted(self, at: np.ndarray) -> np.ndarray:
         """One bucket: by the first 8 bytes, and ties by the ranks of cover positions."""
         key = self.word(at)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         at, key = at[order], key[order]
         new = np.concatenate([[True], key[1:] != key[:-1]])
         start = np.flatnonzero(new)

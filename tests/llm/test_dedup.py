@@ -294,3 +294,19 @@ def test_bytes_decide_not_hashes(monkeypatch, blind):
     i, j = np.divmod(np.arange(3600), 60)
     sizes = np.diff(at)
     assert passages._same(x, at[i], at[j], sizes[i], sizes[j]).tolist() == [texts[a] == texts[b] for a, b in zip(i, j, strict=True)]
+
+
+def test_words_at_any_place_sort_as_their_bytes():  # op10_suffix_array_dedup
+    import numpy as np
+
+    from pairloom.llm import suffixes
+
+    rng = np.random.default_rng(3)
+    text = rng.integers(0, 3, 4000).astype(np.uint8) * 127
+    at = rng.integers(0, 3990, 900)
+    want = [int.from_bytes(text[i : i + 8].tobytes(), "big") for i in at]
+    assert suffixes.big(suffixes.words_of(text)[at]).tolist() == want
+    # A block in order, its suffixes told apart by their first 50 bytes at least.
+    sorter = suffixes.CoverSorter(text, 50)
+    got = [text[i : i + 50].tobytes() for block in sorter.blocks(np.arange(3900), 500) for i in block]
+    assert got == sorted(got) and len(got) == 3900
