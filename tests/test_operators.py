@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import blocks, checks, features, items, joint, metrics, reports, sampling, scoring, split
 from pairloom.operators.components import connected_components
+from pairloom.plans import tables
 from pairloom.sources import io
 from pairloom.streaming import pairs as streaming
 
@@ -418,3 +419,22 @@ def test_counted_human_rows_equal_those_of_mining(spark, blocked):  # mined_summ
     folded = blocks.folded_pairs(parts, ["category", "name"], "brand").groupBy("category")
     human = folded.agg(F.sum("pairs").alias("pairs"), F.sum("positives").alias("positives"), F.sum(F.col("known") - F.coalesce("positives", F.lit(0))).alias("negatives"))
     assert _sorted(joint.counted_human(human, 30, 2)) == _sorted(joint.joint_summary(mined.where("origin in ('hard', 'human')")))
+
+
+@pytest.fixture
+def classed(blocked):
+    """Cards of the blocked items, their classes, and all pairs: two of three items have the card of others, and lists are cut short."""
+    parts, pairs = blocked
+    cards = parts.select("id", F.concat_ws(" ", "name", "brand", F.col("size").cast("string")).alias("title"), F.to_json(F.struct("brand", "size")).alias("attributes"), "category", "name", "brand")
+    classes = tables.written(blocks.card_classes(cards, ["category", "name"], ["brand", "title", "attributes"]), "classes")
+    assert classes.count() < cards.count() and classes.agg(F.max(F.size("ids"))).first()[0] > 2
+    of = lambda df: df.select("id", F.col("title").alias("name"), "attributes", "category")
+    return of(cards), classes, of(classes), pairs
+
+
+def test_listed_features_of_classes_are_those_of_all_pairs(monkeypatch, classed):  # pair_features_core
+    cards, classes, own, pairs = classed
+    monkeypatch.setattr(blocks, "LISTED", 2)
+    found = features.pair_features(blocks.ordered_class_pairs(classes, ["category", "name"], "brand"), items.item_records(own, normalize=False))
+    assert found.count() < pairs.count()
+    assert _sorted(blocks.listed_pairs(found, classes)) == _sorted(features.pair_features(pairs, items.item_records(cards, normalize=False)))
