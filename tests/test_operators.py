@@ -438,3 +438,10 @@ def test_listed_features_of_classes_are_those_of_all_pairs(monkeypatch, classed)
     found = features.pair_features(blocks.ordered_class_pairs(classes, ["category", "name"], "brand"), items.item_records(own, normalize=False))
     assert found.count() < pairs.count()
     assert _sorted(blocks.listed_pairs(found, classes)) == _sorted(features.pair_features(pairs, items.item_records(cards, normalize=False)))
+
+
+def test_listed_scores_of_classes_are_those_of_all_pairs(monkeypatch, classed):  # text_pair_score
+    cards, classes, own, pairs = classed
+    monkeypatch.setattr(blocks, "LISTED", 3)
+    found = scoring.score_texts(blocks.ordered_class_pairs(classes, ["category", "name"], "brand"), items.item_texts(own), length())
+    assert _sorted(blocks.listed_pairs(found, classes)) == _sorted(scoring.score_texts(pairs, items.item_texts(cards), length()))
