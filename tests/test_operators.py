@@ -445,3 +445,15 @@ def test_listed_scores_of_classes_are_those_of_all_pairs(monkeypatch, classed):
     monkeypatch.setattr(blocks, "LISTED", 3)
     found = scoring.score_texts(blocks.ordered_class_pairs(classes, ["category", "name"], "brand"), items.item_texts(own), length())
     assert _sorted(blocks.listed_pairs(found, classes)) == _sorted(scoring.score_texts(pairs, items.item_texts(cards), length()))
+
+
+def test_joint_set_of_listed_classes_equals_that_of_all_pairs(spark, classed):  # joint_dataset
+    _, classes, _, pairs = classed
+    soft, val = pairs.withColumn("target", (F.col("id1") * 7 + F.col("id2")) % 11 / 10.0), spark.createDataFrame([(3,), (8,)], "id long")
+    able = joint.without_items(joint.confident(soft), val)
+    high, low = (able.where(w).count() for w in ("target >= 0.7", "target <= 0.3"))
+    told = blocks.ordered_class_pairs(classes, ["category", "name"], "brand").join(classes.select(F.col("id").alias("id1"), "category"), "id1")
+    for share in (0, 2, 3):
+        count = lambda n, share=share: n // share if share else n
+        want = joint.joint_pairs(pairs, soft, val, count(high), count(low), None, 3, 5)
+        assert _sorted(joint.drawn_soft(able, count, 5).unionByName(joint.listed_human(classes, told, 3))) == _sorted(want)
