@@ -35,11 +35,11 @@ def unpack_array(data: bytes, dtype: str, delta: bool = False) -> np.ndarray:
     return np.cumsum(a, dtype=a.dtype) if delta else a
 
 
-def _ipc(batch: pa.RecordBatch) -> bytes:
+def _ipc(batch: pa.RecordBatch) -> pa.Buffer:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as w:
         w.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+    return sink.getvalue()
 
 
 def rows_of(data: bytes) -> pa.RecordBatch:
@@ -65,6 +65,7 @@ def batched(df: DataFrame, text: str, label: str, limit: int = BATCH_TEXT) -> Da
 
         def flush() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
             number = (task << 24) + seq
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([packed(_ipc(table.to_batches()[0]), 3)], pa.binary())], names=["batch", "rows"])
 

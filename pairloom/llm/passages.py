@@ -21,13 +21,14 @@ contents, so no frequent passage gathers in one task.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from . import batches, shared
 from .batches import pack_array, unpack_array
@@ -37,6 +38,8 @@ LENGTH, K = 50, 20
 WIDE = LENGTH - K + 1
 WIDEST = 2 * LENGTH - K
 HOT = 5000
+#: Bytes of text that a worker hands back at once, about.
+PIECE = 1 << 20
 #: Batches of texts whose stretches meet in one task, about.
 BATCHES = 8
 #: Window starts that are hashed at once; the arrays fit the processor's cache.
@@ -261,17 +264,9 @@ def _covered(x: np.ndarray, docs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.where(docs > docs[one][group], every[group], mask[group])
 
 
-def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """df's rows with ``removed_spans``: an array of (start, end) byte ranges to take from each whole text.
-
-    A byte goes if a string of ``LENGTH`` bytes over it also starts in a document with a smaller identifier;
-    all strings are judged on the input. Texts are UTF-8 bytes, a null text is empty and loses nothing.
-    Documents with one identifier don't take from each other; null identifiers come after all others and
-    don't take from each other. Other columns pass through; one called removed_spans is replaced.
-    """
+def _judged(df: DataFrame, id_col: str, text: str, schema: StructType, made: Callable[[pa.RecordBatch, pa.ListArray], pa.RecordBatch], hot: int = HOT) -> DataFrame:
+    """Rows of schema: what made gives of df's rows and the spans that go from each, ``PIECE`` bytes of text at a time, about."""
     spark = df.sparkSession
-    if "removed_spans" in df.columns:
-        df = df.drop("removed_spans")
     at_id, at_text = df.columns.index(id_col), df.columns.index(text)
     packed = batches.batched(df, text, "dedup-batches")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-packed.count() // BATCHES))
@@ -384,15 +379,14 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int
 
     resolved = shared.written(sent.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(shared.frugal(sort), SHIPPED), "dedup-resolved")
     parts = resolved.unionByName(sent.where("bucket < 0")).groupBy("batch").agg(F.collect_list(F.struct("bucket", "data")).alias("parts"))
-    out_schema = df.withColumn("removed_spans", F.lit(None).cast("array<struct<start:long,end:long>>")).schema
-    arrow_schema = to_arrow_schema(out_schema)
 
     def finish(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
             for i in range(b.num_rows):
                 rows = batches.rows_of(b.column(0)[i].as_py())
                 x, offsets = batches.text_bytes(rows, at_text)
-                marks = np.zeros(len(x) + 1, np.int32)
+                # No byte is covered more than LENGTH times and one: windows start at different places, and each lies in one stretch.
+                marks = np.zeros(len(x) + 1, np.int16)
                 waits: dict = {}
                 masks_at, masks = [], []
                 for p in b.column(1)[i].as_py() or []:
@@ -414,8 +408,8 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int
                         np.add.at(marks, s, 1)
                         np.add.at(marks, s + LENGTH, -1)
                 # Runs of covered bytes, cut where texts end.
-                gone = np.cumsum(marks[:-1], dtype=np.int32) > 0
-                edge = np.diff(gone.astype(np.int8), prepend=0, append=0)
+                gone = np.cumsum(marks, dtype=np.int16, out=marks)[:-1] > 0
+                edge = np.diff(gone.view(np.int8), prepend=np.int8(0), append=np.int8(0))
                 start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
                 inner = np.unique(offsets[1:-1])
                 inner = inner[(inner > 0) & (inner < len(x))]
@@ -425,9 +419,31 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int
                 lists = np.searchsorted(text, np.arange(rows.num_rows + 1)).astype(np.int32)
                 spans = pa.StructArray.from_arrays([pa.array(start - offsets[text], pa.int64()), pa.array(end - offsets[text], pa.int64())], names=["start", "end"])
                 spans = pa.ListArray.from_arrays(pa.array(lists), spans)
-                yield pa.RecordBatch.from_arrays([*rows.columns, spans.cast(arrow_schema.field("removed_spans").type)], schema=arrow_schema)
+                del marks, gone, edge
+                pieces = np.unique(np.concatenate([np.searchsorted(offsets[:-1], np.arange(0, len(x), PIECE)), [0, rows.num_rows]]))
+                for y, z in zip(pieces[:-1].tolist(), pieces[1:].tolist(), strict=True):
+                    yield made(rows.slice(y, z - y), spans.slice(y, z - y))
+
+    return packed.join(parts, "batch", "left").select("rows", "parts").mapInArrow(shared.frugal(finish), schema)
+
+
+def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+    """df's rows with ``removed_spans``: an array of (start, end) byte ranges to take from each whole text.
+
+    A byte goes if a string of ``LENGTH`` bytes over it also starts in a document with a smaller identifier;
+    all strings are judged on the input. Texts are UTF-8 bytes, a null text is empty and loses nothing.
+    Documents with one identifier don't take from each other; null identifiers come after all others and
+    don't take from each other. Other columns pass through; one called removed_spans is replaced.
+    """
+    if "removed_spans" in df.columns:
+        df = df.drop("removed_spans")
+    schema = df.withColumn("removed_spans", F.lit(None).cast("array<struct<start:long,end:long>>")).schema
+    arrow_schema = to_arrow_schema(schema)
+
+    def made(rows: pa.RecordBatch, spans: pa.ListArray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*rows.columns, spans.cast(arrow_schema.field("removed_spans").type)], schema=arrow_schema)
 
-    return packed.join(parts, "batch", "left").select("rows", "parts").mapInArrow(shared.frugal(finish), out_schema)
+    return _judged(df, id_col, text, schema, made, hot)
 
 
 def cut(raw: bytes, spans: list[dict]) -> bytes:
@@ -459,14 +475,11 @@ def digests(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
 
 def without(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """df with the repeated passages cut out of its texts; a character that a cut halves goes as a whole. A null text stays null, other columns pass through."""
-    df = df.withColumnRenamed("removed_spans", "__own_spans")
-    found = removed(df, id_col, text)
+    at = df.columns.index(text)
 
-    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_:
-            at = b.schema.get_field_index(text)
-            texts = [t if t is None or not s else cut(t.encode(), s).decode(errors="ignore") for t, s in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
-            columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(b.columns[:-1])]
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+    def made(rows: pa.RecordBatch, spans: pa.ListArray) -> pa.RecordBatch:
+        texts = [t if t is None or not s else cut(t.encode(), s).decode(errors="ignore") for t, s in zip(rows.column(at).to_pylist(), spans.to_pylist(), strict=True)]
+        columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(rows.columns)]
+        return pa.RecordBatch.from_arrays(columns, schema=rows.schema)
 
-    return found.mapInArrow(shared.frugal(run), df.schema).withColumnRenamed("__own_spans", "removed_spans")
+    return _judged(df, id_col, text, df.schema, made)

@@ -92,6 +92,19 @@ def test_passages_of_exact_copies_in_one_batch(spark, docs):
     assert dedup(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)) == removed(docs)
 
 
+def test_passages_are_cut_where_they_are_found(spark):
+    rng = random.Random(11)
+    own, shared_ = ["".join(rng.choices("abcdefghijklmnop ", k=300_000)) for _ in range(9)], "é" * 30 + "".join(rng.choices("xyz", k=60))
+    own = [t[:999] + str(i) * 2 + t[1001:] for i, t in enumerate(own)]  # what stands beside the passage is of one text
+    rows = [(i, t[:1000] + shared_ + t[1000:], i + 0.5) for i, t in enumerate(own)] + [(9, None, 9.5), (10, "", 10.5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, removed_spans double").coalesce(1)
+    cut = passages.without(df)
+    # One Python worker a task: a second one would hold the texts again.
+    assert cut._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = [rows[0], *[(i, t, i + 0.5) for i, t in enumerate(own)][1:], *rows[9:]]
+    assert sorted(map(tuple, cut.collect())) == want
+
+
 def test_stretches_hold_every_window_once():
     rng = np.random.default_rng(2)
     texts = ["".join(chr(97 + int(c)) for c in rng.integers(0, 3, int(n))) for n in rng.integers(0, 200, 80)]
