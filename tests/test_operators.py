@@ -457,3 +457,36 @@ def test_joint_set_of_listed_classes_equals_that_of_all_pairs(spark, classed):
         count = lambda n, share=share: n // share if share else n
         want = joint.joint_pairs(pairs, soft, val, count(high), count(low), None, 3, 5)
         assert _sorted(joint.drawn_soft(able, count, 5).unionByName(joint.listed_human(classes, told, 3))) == _sorted(want)
+
+
+def _numbered_features(spark):
+    rng = random.Random(8)
+    rows = [(int(rng.random() < (0.8 if (x > 60) != (c in "ac") else 0.2)), c, float(x), float(y)) for x, y, c in ((rng.randrange(90), rng.randrange(5), rng.choice("abcd")) for _ in range(900))]
+    return spark.createDataFrame(rows, "target int, category string, x double, y double").cache()
+
+
+def test_whole_fit_of_many_rounds_does_not_run_jobs_by_round(spark):  # gbt_score
+    f = _numbered_features(spark).where("x < 60")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    model = scoring.fit_trees(f, ["x", "y"])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before < 30
+    assert model.stages[-1].getNumTrees == 1800 and model.stages[-1].getOrDefault("maxDepth") == 8
+    # Trees of so many levels tell all different rows apart: predictions are the shares of matches among equal rows.
+    shares = scoring.predicted(model, f).groupBy("category", "x", "y").agg(F.avg("target").alias("share"), F.first("prediction").alias("p")).collect()
+    assert max(abs(r.share - r.p) for r in shares) < 0.05
+
+
+@pytest.mark.parametrize("val", [False, True])
+def test_trees_are_those_of_the_library(spark, monkeypatch, val):  # gbt_score
+    """Whatever the number of different rows, the fit is the same: more values than bins, and an early end, too."""
+    f = _numbered_features(spark)
+    train, held = (f.where("y < 4"), f.where("y = 4")) if val else (f, None)
+    fit = lambda: scoring.fit_trees(train, ["x", "y"], rounds=12, depth=4, validation=held)
+    own = fit()
+    monkeypatch.setattr(scoring.trees, "ROWS", 0)
+    library = fit()
+    assert not isinstance(library.stages[-1], scoring.trees.BoostedTrees) and own.stages[-1].getNumTrees == library.stages[-1].getNumTrees
+    rows = f.distinct()
+    p, q = (sorted(scoring.predicted(m, rows).collect(), key=lambda r: r[:-1]) for m in (own, library))
+    assert all(a.prediction == pytest.approx(b.prediction, abs=1e-9) for a, b in zip(p, q, strict=True))
+    assert own.stages[-1].featureImportances.toArray() == pytest.approx(library.stages[-1].featureImportances.toArray(), abs=1e-6)
